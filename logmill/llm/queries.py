@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import fingerprint, urlfilter
+from logmill.llm import fingerprint, recompress, urlfilter
 from logmill.llm.base import table
 
 
@@ -14,9 +14,13 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.apply_rules(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op7_url_filters)}
-ORACLES: dict[str, str] = {"op1_document_fingerprints": fingerprint.ORACLE, "op7_url_filters": urlfilter.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op5_substring_dedup, op7_url_filters)}
+ORACLES: dict[str, str] = {"op1_document_fingerprints": fingerprint.ORACLE, "op5_substring_dedup": recompress.oracle(), "op7_url_filters": urlfilter.oracle()}
