@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmill.llm import fingerprint, recompress, urlfilter
+from logmill.llm import decontam, fingerprint, quality, recompress, simhash, urlfilter
 from logmill.llm.base import table
 
 
@@ -14,6 +14,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -22,5 +26,20 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.apply_rules(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op5_substring_dedup, op7_url_filters)}
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_document_fingerprints,
+    op4_benchmark_decontamination,
+    op5_substring_dedup,
+    op7_url_filters,
+    op8_simhash_near_dedup,
+    op9_quality_classifier,
+)}
 ORACLES: dict[str, str] = {"op1_document_fingerprints": fingerprint.ORACLE, "op5_substring_dedup": recompress.oracle(), "op7_url_filters": urlfilter.oracle()}

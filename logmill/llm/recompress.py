@@ -222,11 +222,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LE
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) without the words of ``spans`` (doc_id, text_hash, start_word, end_word); n_chars is
     that of the new text.  A document of which no word is left goes; what has no span stays as it is."""
-    lists = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("spans"))
+    lists = spans.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("spans"))
     docs = docs.select(*DOCUMENT_COLUMNS)
     keyed = docs.withColumn("text_hash", F.expr("xxhash64(cast(text as string)) & 2147483647"))
     names = [f.name for f in docs.schema.fields]
-    joined = keyed.join(lists, ["doc_id", "text_hash"], "left").select(*names, "spans")
+    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left").select(*names, "spans")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         spans_of = b.column(len(names))
