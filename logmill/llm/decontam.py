@@ -137,15 +137,18 @@ def find(h: np.ndarray, offsets: np.ndarray, built) -> list[tuple[int, int, int,
     edge = np.flatnonzero(np.diff(np.concatenate(([0], seen.view(np.int8), [0]))))
     start, end = edge[0::2], edge[1::2] + 1
     long = end - start >= least
+    hits: dict[int, list[tuple[int, int, int, int | None]]] = {}
     for a, b in zip(start[long].tolist(), end[long].tolist()):
         doc = int(np.searchsorted(offsets, a, "right")) - 1
-        base = int(offsets[doc])
-        hits = [(k + 1 - n, k + 1, n, sam.item_of[s]) for k, (s, n) in enumerate(sam.matches(h[a:b].tolist())) if s and n >= limits[s]]
-        for x, y in merged((p, q) for p, q, _, _ in hits):
-            inside = [(n, item) for p, q, n, item in hits if x <= p and q <= y]
+        base = a - int(offsets[doc])
+        found = ((base + k + 1 - n, base + k + 1, n, sam.item_of[s]) for k, (s, n) in enumerate(sam.matches(h[a:b].tolist())) if s and n >= limits[s])
+        hits.setdefault(doc, []).extend(found)
+    for doc, own in hits.items():
+        for x, y in merged((p, q) for p, q, _, _ in own):
+            inside = [(n, item) for p, q, n, item in own if x <= p and q <= y]
             n = max(n for n, _ in inside)
             item = min((i for m, i in inside if m == n), key=lambda i: (i is None, i or 0))
-            out.append((doc, a - base + x, a - base + y, item, n))
+            out.append((doc, x, y, item, n))
     return out
 
 

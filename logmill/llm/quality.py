@@ -199,7 +199,10 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, hidden: int = HIDDEN) ->
     net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
     logits, t = net.logit(x[held]), y[held]
     choices = np.exp(np.linspace(np.log(0.05), np.log(20), 241))
-    losses = [np.mean(np.logaddexp(0, -np.where(t > 0, 1, -1) * logits / c)) for c in choices]
+    # smoothed targets: a few held-out rows that are all right don't make the network certain
+    good = t.sum()
+    aim = np.where(t > 0, (good + 1) / (good + 2), 1 / (len(t) - good + 2))
+    losses = [np.mean(np.logaddexp(0, logits / c) - aim * logits / c) for c in choices]
     net.temperature = float(choices[int(np.argmin(losses))])
     return net
 
