@@ -204,14 +204,19 @@ def fold(group: Group, events: Iterable[dict], partitions: dict[str, list[int]])
     return [{"group_id": e["group_id"], "seq": e["seq"], "op": e["op"]} | group.step(e, partitions) for e in events]
 
 
+def event_rows(frame: pd.DataFrame) -> list[dict]:
+    """Events of a frame by ``seq``, with 0 for missing numbers."""
+    rows = frame.sort_values("seq").to_dict("records")
+    for r in rows:
+        for k in ("generation_id", "session_timeout_ms", "rebalance_timeout_ms", "now_ms"):
+            r[k] = 0 if pd.isna(r[k]) else int(r[k])
+    return rows
+
+
 def fold_groups(events: DataFrame, partitions: dict[str, list[int]]) -> DataFrame:
     """The outcome of each group event, in the order of ``seq`` within its group."""
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("seq").to_dict("records")
-        for r in rows:
-            for k in ("generation_id", "session_timeout_ms", "rebalance_timeout_ms", "now_ms"):
-                r[k] = 0 if pd.isna(r[k]) else int(r[k])
-        return pd.DataFrame(fold(Group(), rows, partitions), columns=_OUTCOME_COLUMNS)
+        return pd.DataFrame(fold(Group(), event_rows(frame), partitions), columns=_OUTCOME_COLUMNS)
 
     return events.groupBy("group_id").applyInPandas(each, OUTCOME)

@@ -1,0 +1,95 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from logmill.functions.headers import decode_headers, encode_headers
+from logmill.operators import scan
+from logmill.sources.logview import dense_rank_in
+
+LOG = "topic string, partition int, offset bigint, timestamp_ms bigint, key string, value string"
+
+
+@pytest.fixture
+def log(spark):
+    return spark.createDataFrame([("t", p, o, 1000 + o, f"k{o}", None if o == 2 else "") for p, n in ((0, 5), (1, 1)) for o in range(n)], LOG)
+
+
+def offsets(df):
+    return sorted(r.offset for r in df.collect())
+
+
+def test_range_limit_and_end(log):
+    assert offsets(scan.fetch_range(log, "t", 0, 3, 10)) == [3, 4]
+    assert offsets(scan.fetch_range(log, "t", 0, 0, 2)) == [0, 1]
+    assert offsets(scan.fetch_range(log, "t", 0, 0, 0)) == []
+    assert offsets(scan.fetch_range(log, "t", 0, 9, 5)) == [] and offsets(scan.fetch_range(log, "u", 0, 0, 5)) == []
+
+
+def test_whole_batches_may_begin_before_the_start(log):
+    assert offsets(scan.fetch_batch_aligned(log.where("partition = 0"), 1, 1, 2)) == [0, 1]
+    assert offsets(scan.fetch_batch_aligned(log.where("partition = 0"), 1, 2, 2)) == [0, 1, 2, 3]
+    assert offsets(scan.fetch_batch_aligned(log.where("partition = 0"), 5, 2, 2)) == []
+
+
+def test_offsets_of_partitions(log, spark):
+    got = {r.partition: (r.earliest_offset, r.earliest_timestamp_ms, r.latest_offset, r.latest_timestamp_ms) for r in scan.list_offsets(log).collect()}
+    assert got == {0: (0, 1000, 5, 0), 1: (0, 1000, 1, 0)}
+    specs = spark.createDataFrame([(-2,), (-1,), (777,)], "spec bigint")
+    found = {(r.partition, r.spec): r.found_offset for r in scan.list_offsets_spec(log, specs).collect()}
+    assert found == {(0, -2): 0, (0, -1): 5, (0, 777): 0, (1, -2): 0, (1, -1): 1, (1, 777): 0}
+
+
+def test_watermark_hides_and_a_bare_partition_shows_all(log, spark):
+    marks = lambda hw, seen: spark.createDataFrame([("t", 0, hw, seen)], "topic string, partition int, high_watermark bigint, has_progress boolean")
+    assert offsets(scan.visible(log, marks(2, True))) == [0, 1]
+    assert offsets(scan.visible(log, marks(0, True))) == []
+    assert offsets(scan.visible(log, marks(0, False))) == [0, 1, 2, 3, 4]
+
+
+def test_null_values_are_tombstones_and_empty_ones_are_not(log):
+    got = {r.partition: (r.null_values, r.null_keys, r.records) for r in scan.tombstones(log).collect()}
+    assert got == {0: (1, 0, 5), 1: (0, 0, 1)}
+
+
+def test_truncation_and_recovery(log, spark):
+    bounds = spark.createDataFrame([("t", 0, 2)], "topic string, partition int, next_offset bigint")
+    kept = scan.truncate(log, bounds)
+    assert offsets(kept.where("partition = 0")) == [0, 1] and offsets(kept.where("partition = 1")) == [0]
+    assert offsets(scan.valid_prefix(log, F.col("value").isNull()).where("partition = 0")) == [0, 1]
+
+
+def test_unknown_topics_are_errors(log, spark):
+    got = {r.topic: (r.error_code, r.partitions) for r in scan.metadata_lookup(spark.createDataFrame([("t",), ("u",)], "topic string"), scan.topic_metadata(log)).collect()}
+    assert got == {"t": (0, 2), "u": (3, 0)}
+    assert scan.topic_metadata(log, ["u"]).count() == 0
+
+
+def test_leaders(log, spark):
+    leaders = spark.createDataFrame([("t", 0, 1)], "topic string, partition int, leader_id int")
+    assert scan.led_here(log, leaders, 1, 3).count() == 5 and scan.led_here(log, leaders, 1, 0).count() == 6 and scan.led_here(log, leaders, 2, 3).count() == 0
+
+
+def test_headers_there_and_back(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1, array(named_struct('key', 'trace-id', 'value', cast('abc' AS binary)), named_struct('key', 'empty', 'value', cast(NULL AS binary)))),
+        (2, array(named_struct('key', 'q"t', 'value', cast('' AS binary)))), (3, cast(array() AS array<struct<key:string,value:binary>>)), (4, NULL) AS t(i, headers)""")
+    text = df.select("i", encode_headers(F.col("headers")).alias("j"))
+    got = {r.i: r.j for r in text.collect()}
+    assert got == {1: '[["trace-id",[97,98,99]],["empty",null]]', 2: '[["q\\"t",[]]]', 3: "[]", 4: None}
+    back = {r.i: [(h.key, None if h.value is None else bytes(h.value)) for h in r.h] for r in text.select("i", decode_headers(F.col("j")).alias("h")).collect()}
+    assert back == {1: [("trace-id", b"abc"), ("empty", None)], 2: [('q"t', b"")], 3: [], 4: []}
+    odd = spark.createDataFrame([("nonsense",), ('[["a",[1]],["b",null],["a",[2]]]',)], "j string").select(decode_headers(F.col("j")).alias("h")).collect()
+    assert [[(h.key, None if h.value is None else bytes(h.value)) for h in r.h] for r in odd] == [[], [("a", b"\x02"), ("b", None)]]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-50, 500), st.integers(0, 5)), max_size=40, unique_by=lambda r: r[:2]), st.sampled_from([1, 7, 100, 10_000]))
+def test_ranks_don_t_depend_on_the_block(spark, rows, block):
+    df = spark.createDataFrame(rows, "k string, o bigint, w bigint")
+    got = {(r.k, r.o): (r.n, r.s) for r in dense_rank_in(dense_rank_in(df, ["k"], "o", "n", block=block), ["k"], "o", "s", F.col("w"), block).collect()}
+    assert got == {(k, o): (sum(a == k and b < o for a, b, _ in rows), sum(c for a, b, c in rows if a == k and b < o)) for k, o, _ in rows}
+
+
+def test_null_keys_are_numbered_too(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "k string, o bigint")
+    assert sorted((r.o, r.n) for r in dense_rank_in(df, ["k"], "o", "n").collect()) == [(1, 0), (2, 1), (5, 0)]
