@@ -48,13 +48,14 @@ def text_input(df: DataFrame, *others: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over each Arrow batch; None means no rows."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 2000) -> DataFrame:
+    """``fn`` over pieces of at most ``rows`` rows of each Arrow batch, which bounds a worker's memory; None means no rows."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for a in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(a, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(each, schema)
 

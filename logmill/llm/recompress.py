@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LE
                 column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["doc_id", "text_hash", "start_word", "end_word", "first_doc_id"])
 
-    return arrow_map(repeated, islands, "doc_id bigint, text_hash bigint, start_word bigint, end_word bigint, first_doc_id bigint")
+    return arrow_map(repeated, islands, "doc_id bigint, text_hash bigint, start_word bigint, end_word bigint, first_doc_id bigint", rows=1 << 30)
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
