@@ -262,6 +262,16 @@ class Quorum:
         return True
 
 
+def may_write(voters: Iterable[int], me: int, leader: int | None, roles: Iterable[str]) -> bool:
+    """Whether a broker may change the metadata: where there are no voters anyone may, else the controller that leads."""
+    return not list(voters) or ("controller" in roles and leader == me)
+
+
+def find_coordinator(keys: DataFrame, node_id: int, host: str, port: int) -> DataFrame:
+    """A row for each of the ``keys`` asked for: there is one broker, and it coordinates every group."""
+    return keys.select(F.explode("keys").alias("key")).select("key", F.lit(0).cast("bigint").alias("error_code"), F.lit(node_id).cast("bigint").alias("node_id"), F.lit(host).alias("host"), F.lit(port).cast("bigint").alias("port"))
+
+
 def compare_and_append(requests: DataFrame, voters: Iterable[int]) -> DataFrame:
     """(log_id, seq, accepted, term, last_metadata_offset) of append requests (log_id, seq, term, leader_id, previous_offset,
     records), in the order of ``seq`` within each log."""

@@ -33,6 +33,17 @@ def round_robin(df: DataFrame, index: Column, partitions: int) -> DataFrame:
     return df.groupBy(F.pmod(index, F.lit(partitions)).cast("bigint").alias("partition")).agg(F.count("*").alias("records"))
 
 
+def total_of_nodes(df: DataFrame, scenario: str, metrics: Sequence[str]) -> DataFrame:
+    """Each scenario's metrics summed over the nodes that report them."""
+    return df.groupBy(scenario).agg(*[F.sum(m).alias(m) for m in metrics])
+
+
+def efficiency(stored: Column, records: Column, payload: Column) -> tuple[Column, Column]:
+    """Stored bytes a record and a byte of payload; nothing is divided by less than one."""
+    one = F.lit(1)
+    return stored / F.greatest(records, one), stored / F.greatest(payload, one)
+
+
 def bench_compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """Both figures of each scenario, and a note where one report lacks it."""
     j = before.withColumnRenamed("figure", "before").join(after.withColumnRenamed("figure", "after"), "scenario", "full")

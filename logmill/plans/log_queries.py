@@ -1,4 +1,9 @@
-"""The log operators' queries over the log views, each beside the SQL that must give the same rows."""
+"""The log operators' queries over the log views, each beside the SQL that must give the same rows.
+
+Every query takes all rows of its tables.  The tables hold a clean log, so some queries make the fault that their operator
+is there to find: ``lossy`` is a log from which records were lost, ``retried`` one with records sent twice, ``commits`` what
+consumers that commit now and then have written.  Where a condition names one partition or an offset, it is the read's own argument.
+"""
 
 from __future__ import annotations
 
@@ -37,6 +42,11 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select([F.col(f"`{c}`").cast(cast[kinds[c]]).alias(c) if kinds[c] in cast else F.col(f"`{c}`") for c in columns or df.columns])
 
 
+def lossy(log: DataFrame) -> DataFrame:
+    """The log after a fault that lost every 97th record."""
+    return log.where("arrival % 97 <> 0")
+
+
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -276,7 +286,7 @@ SELECT topic, CAST(partition AS BIGINT) AS partition, "offset", arrival FROM (
   SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY "offset" DESC) AS k FROM L WHERE arrival % 97 <> 0) WHERE k <= 10
 """)
 def q_tail_k(spark, sf):
-    return plain(scan.last_k(events_log(spark, sf).where("arrival % 97 <> 0"), 10), *PARTITION, "offset", "arrival")
+    return plain(scan.last_k(lossy(events_log(spark, sf)), 10), *PARTITION, "offset", "arrival")
 
 
 @query(EVENTS_SQL + """
@@ -284,7 +294,7 @@ SELECT topic, CAST(partition AS BIGINT) AS partition, "offset", previous_offset
   SELECT *, lag("offset") OVER (PARTITION BY topic, partition ORDER BY "offset") AS previous_offset FROM L WHERE arrival % 97 <> 0) WHERE "offset" <> previous_offset + 1
 """)
 def q_offset_gaps(spark, sf):
-    return plain(scan.offset_gaps(events_log(spark, sf).where("arrival % 97 <> 0")), *PARTITION, "offset", "previous_offset")
+    return plain(scan.offset_gaps(lossy(events_log(spark, sf))), *PARTITION, "offset", "previous_offset")
 
 
 @query(EVENTS_SQL + """
@@ -292,7 +302,7 @@ SELECT topic, CAST(partition AS BIGINT) AS partition, producer_id, sequence, pre
   SELECT *, lag(sequence) OVER (PARTITION BY topic, partition, producer_id ORDER BY arrival) AS previous_sequence FROM L WHERE arrival % 97 <> 0) WHERE sequence <> previous_sequence + 1
 """)
 def q_sequence_gaps(spark, sf):
-    return plain(scan.sequence_gaps(events_log(spark, sf).where("arrival % 97 <> 0")), *PARTITION, "producer_id", "sequence", "previous_sequence")
+    return plain(scan.sequence_gaps(lossy(events_log(spark, sf))), *PARTITION, "producer_id", "sequence", "previous_sequence")
 
 
 # --- appends ---
@@ -330,7 +340,7 @@ def q_round_robin(spark, sf):
     return stats.round_robin(spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id"), 3)
 
 
-def _retried(spark, sf) -> DataFrame:
+def retried(spark, sf) -> DataFrame:
     """Every tenth record is sent again at once."""
     log = events_log(spark, sf)
     first = log.withColumn("sent", F.col("arrival") * 2)
@@ -343,12 +353,12 @@ SELECT topic, CAST(partition AS BIGINT) AS partition, producer_id, sequence, sen
   SELECT *, lag(sequence) OVER (PARTITION BY topic, partition, producer_id ORDER BY sent) AS last FROM S) WHERE last IS NULL OR last <> sequence
 """)
 def q_dedup_retries(spark, sf):
-    return plain(append.drop_retries(_retried(spark, sf), "sent"), *PARTITION, "producer_id", "sequence", "sent")
+    return plain(append.drop_retries(retried(spark, sf), "sent"), *PARTITION, "producer_id", "sequence", "sent")
 
 
 def _batches(spark, sf) -> DataFrame:
     """Produce batches: one record each, with retries, lost batches (every 97th) and a few fenced ones."""
-    rows = _retried(spark, sf).where("arrival % 97 <> 0")
+    rows = lossy(retried(spark, sf))
     epoch = F.when(F.col("arrival") % 331 == 0, -1).otherwise(0)
     return rows.select(*PARTITION, F.col("sent").alias("batch"), "producer_id", epoch.alias("producer_epoch"), F.col("sequence").alias("first_sequence"), F.col("sequence").alias("last_sequence"), F.lit(1).cast("bigint").alias("records"))
 
@@ -423,6 +433,7 @@ E AS (SELECT topic, partition, max("offset") + 1 AS log_end_offset FROM L GROUP
 
 
 def commits(log: DataFrame) -> DataFrame:
+    """Consumers that commit behind every tenth record."""
     return log.where("arrival % 10 = 0").select(F.concat(F.lit("g"), F.col("producer_id") % 4).alias("group_id"), *PARTITION, (F.col("offset") + 1).alias("next_offset"), F.col("arrival").alias("commit_seq"))
 
 
@@ -645,6 +656,18 @@ def q_broker_liveness(spark, sf):
     return plain(alive.select("node_id", "broker_epoch", "last_heartbeat_ms", (F.col("now_ms") - F.col("last_heartbeat_ms") <= 3_600_000).alias("alive")))
 
 
+@query("SELECT DISTINCT 'g' || (user_id % 4) AS key, CAST(0 AS BIGINT) AS error_code, CAST(1 AS BIGINT) AS node_id, 'localhost' AS host, CAST(9092 AS BIGINT) AS port FROM events")
+def q_find_coordinator(spark, sf):
+    return cluster.find_coordinator(_members(spark, sf).agg(F.collect_set("group_id").alias("keys")), 1, "localhost", 9092)
+
+
+@query(EVENTS_SQL + "SELECT topic, CAST(sum(b) AS BIGINT) AS bytes, sum(n) AS records FROM (SELECT topic, partition, sum(coalesce(strlen(value), 0)) AS b, count(*) AS n FROM L GROUP BY ALL) GROUP BY topic")
+def q_total_of_nodes(spark, sf):
+    log = events_log(spark, sf)
+    nodes = log.groupBy(*PARTITION).agg(F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"), F.count("*").alias("records"))
+    return stats.total_of_nodes(nodes, "topic", ["bytes", "records"])
+
+
 def metadata_events(spark, sf) -> DataFrame:
     """A metadata log over six partitions, one record from each event."""
     e = spark.read.parquet(f"{sf}/events.parquet")

@@ -32,8 +32,14 @@ def truncate_stored(spark: SparkSession, path: str, topic: str, partition: int,
 
 
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """A report as JSON or CSV, a row a scenario."""
-    if kind not in ("json", "csv"):
+    """A report as JSON, CSV or a Markdown table, a row a scenario."""
+    if kind not in ("json", "csv", "md"):
         raise ValueError(f"no such report: {kind}")
+    if kind == "md":
+        cell = lambda c: F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in rows.columns]), F.lit(" |")).alias("value")
+        head = rows.sparkSession.createDataFrame([("| " + " | ".join(rows.columns) + " |",), ("|" + "---|" * len(rows.columns),)], "value string")
+        head.coalesce(1).union(rows.select(line)).coalesce(1).write.mode("overwrite").text(path)
+        return
     writer = rows.coalesce(1).write.mode("overwrite")
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)

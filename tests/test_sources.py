@@ -68,5 +68,7 @@ def test_reports(spark, tmp_path):
         table.write_report(rows, str(tmp_path / kind), kind)
     assert spark.read.json(str(tmp_path / "json")).collect()[0].seconds == 1.0
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+    table.write_report(rows, str(tmp_path / "md"), "md")
+    assert [r.value for r in spark.read.text(str(tmp_path / "md")).collect()] == ["| scenario | seconds |", "|---|---|", "| s | 1.0 |"]
     with pytest.raises(ValueError):
         table.write_report(rows, str(tmp_path / "x"), "xml")
