@@ -106,7 +106,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         words, total = Words(), np.zeros(BUCKETS * DIMS)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, 500_000):
                 w, off = words(texts[i:j])
                 if len(w) > 1:
                     total += context_sums(w, off)

@@ -84,7 +84,7 @@ class Tokeniser:
         return h, np.concatenate((np.zeros(1, np.int64), np.searchsorted(start, ends).astype(np.int64)))
 
 
-def slices(texts: list[str | None], limit: int = 1_000_000):
+def slices(texts: list[str | None], limit: int = 250_000):
     """Ranges (i, j) of consecutive texts of about ``limit`` characters; a longer text is alone."""
     i = total = 0
     for j, t in enumerate(texts):
