@@ -103,6 +103,28 @@ def _parsed(texts: list[str | None], min_words: int, levels: int, tokeniser: Tok
         yield i, h, offsets, d[use], place[use], name[use], lo[use], hi[use]
 
 
+def _combined(name: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows (name, doc_id, place, known) for the shuffle, in which no name is hot.
+
+    A symbol that two documents of the batch have is known to be shared.  Its occurrences go under keys of their own, and two
+    rows without a place, of its least and greatest doc_id, tell other batches of it.
+    """
+    order = np.argsort(name, kind="stable")
+    name, owner, place = name[order], owner[order], place[order]
+    new = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    least, most = np.minimum.reduceat(owner, new), np.maximum.reduceat(owner, new)
+    known = np.repeat(least < most, np.diff(np.append(new, len(name))))
+    own = mix64(name ^ mix64(owner.astype(np.uint64) * _A + place.astype(np.uint64) * _B))
+    told = np.flatnonzero(least < most)
+    columns = (
+        np.concatenate((np.where(known, own, name), name[new][told], name[new][told])).view(np.int64),
+        np.concatenate((owner, least[told], most[told])),
+        np.concatenate((place, np.full(2 * len(told), -1))).astype(np.int32),
+        np.concatenate((known, np.ones(2 * len(told), bool))),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "doc_id", "place", "known"])
+
+
 _W = _U(0xD6E8FEB86659FD93)
 
 
@@ -145,18 +167,18 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LE
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         names, owners, places = [], [], []
         for i, _, _, d, place, name, _, _ in _parsed(b.column(1).to_pylist(), min_words, levels, tok):
-            names.append(name.view(np.int64))
+            names.append(name)
             owners.append(ids[i + d])
-            places.append(place.astype(np.int32))
-        if not names:
+            places.append(place.astype(np.int64))
+        if not any(map(len, names)):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, owners, places)], ["name", "doc_id", "place"])
+        return _combined(*map(np.concatenate, (names, owners, places)))
 
-    found = arrow_map(base, emit, "name bigint, doc_id bigint, place int")
+    found = arrow_map(base, emit, "name bigint, doc_id bigint, place int, known boolean")
     by_name = Window.partitionBy("name")
     shared = (
         found.withColumn("least", F.min("doc_id").over(by_name)).withColumn("most", F.max("doc_id").over(by_name))
-        .where("least < most").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+        .where("place >= 0 and (known or least < most)").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     )
     marked = base.join(shared, "doc_id", "left").select("doc_id", "text", F.expr("cast(xxhash64(text) & 2147483647 as bigint)").alias("v"), "places")
 

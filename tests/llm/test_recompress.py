@@ -91,3 +91,21 @@ def test_symbols_partition_the_words():
 def test_empty_table(make_docs):
     assert recompress.repeated_spans(make_docs([])).count() == 0
     assert recompress.drop_repeats(make_docs([])).count() == 0
+
+
+def test_combining_a_batch_leaves_no_hot_name():
+    rng = np.random.default_rng(4)
+    name = rng.integers(0, 40, 3000).astype(np.uint64)
+    name[:1000] = 99
+    owner, place = rng.integers(0, 50, 3000), np.arange(3000)
+    name[-3:], owner[-3:] = 1000, 7  # one document alone has it
+    out = recompress._combined(name, owner, place).to_pandas()
+    assert out.name.value_counts().iloc[0] <= 3
+    kept = out[out.place >= 0]
+    assert sorted(kept.place) == list(range(3000)) and (kept.set_index("place").doc_id.sort_index().to_numpy() == owner).all()
+    known = kept.set_index("place").known.sort_index().to_numpy()
+    assert known.tolist() == [len(set(owner[name == n])) > 1 for n in name]
+    told = out[out.place < 0]
+    for n in set(name[known].tolist()):
+        rows = told[told.name == n]
+        assert sorted(rows.doc_id) == [owner[name == n].min(), owner[name == n].max()]
