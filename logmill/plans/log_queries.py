@@ -56,7 +56,7 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 @query(EVENTS_SQL + f"SELECT {_RECORD_SQL} FROM L WHERE topic = 'purchase' AND partition = 1 AND \"offset\" >= {START} ORDER BY \"offset\" LIMIT {LIMIT}")
 def q_fetch_range(spark, sf):
-    return plain(scan.fetch_range(events_log(spark, sf), "purchase", 1, START, LIMIT), *RECORD)
+    return plain(scan.fetch_range(events_log(spark, sf, sequences=True), "purchase", 1, START, LIMIT), *RECORD)
 
 
 @query(EVENTS_SQL + f"""
@@ -73,7 +73,7 @@ SELECT * FROM (SELECT {_RECORD_SQL}, max("offset") OVER (PARTITION BY topic, par
 WHERE topic = 'purchase' AND partition = 1 AND "offset" >= {START} ORDER BY "offset" LIMIT {LIMIT}
 """)
 def q_fetch_with_hw(spark, sf):
-    return plain(scan.fetch_with_high_watermark(events_log(spark, sf), "purchase", 1, START, LIMIT), *RECORD, "high_watermark")
+    return plain(scan.fetch_with_high_watermark(events_log(spark, sf, sequences=True), "purchase", 1, START, LIMIT), *RECORD, "high_watermark")
 
 
 _REQUESTS = [("purchase", 0, 10), ("purchase", 1, 0), ("click", 2, 500), ("view", 1, 1 << 40), ("nowhere", 0, 0)]
@@ -86,7 +86,7 @@ SELECT {_RECORD_SQL}, fetch_offset FROM N WHERE rank <= 1000
 """)
 def q_fetch_multi(spark, sf):
     requests = literal(spark, _REQUESTS, "topic string, partition int, fetch_offset bigint")
-    return plain(scan.fetch_multi(events_log(spark, sf), requests), *RECORD, "fetch_offset")
+    return plain(scan.fetch_multi(events_log(spark, sf, sequences=True), requests), *RECORD, "fetch_offset")
 
 
 @query(EVENTS_SQL + f"""
@@ -302,7 +302,7 @@ SELECT topic, CAST(partition AS BIGINT) AS partition, producer_id, sequence, pre
   SELECT *, lag(sequence) OVER (PARTITION BY topic, partition, producer_id ORDER BY arrival) AS previous_sequence FROM L WHERE arrival % 97 <> 0) WHERE sequence <> previous_sequence + 1
 """)
 def q_sequence_gaps(spark, sf):
-    return plain(scan.sequence_gaps(lossy(events_log(spark, sf))), *PARTITION, "producer_id", "sequence", "previous_sequence")
+    return plain(scan.sequence_gaps(lossy(events_log(spark, sf, sequences=True))), *PARTITION, "producer_id", "sequence", "previous_sequence")
 
 
 # --- appends ---
@@ -323,7 +323,7 @@ def q_append_offsets(spark, sf):
 SELECT topic, CAST(partition AS BIGINT) AS partition, producer_id, CAST(0 AS BIGINT) AS producer_epoch, arg_max(sequence, "offset") AS last_sequence, max("offset") AS last_offset FROM L GROUP BY ALL
 """)
 def q_producer_state(spark, sf):
-    return plain(append.producer_state(events_log(spark, sf)))
+    return plain(append.producer_state(events_log(spark, sf, sequences=True)))
 
 
 @query("""
@@ -342,7 +342,7 @@ def q_round_robin(spark, sf):
 
 def retried(spark, sf) -> DataFrame:
     """Every tenth record is sent again at once."""
-    log = events_log(spark, sf)
+    log = events_log(spark, sf, sequences=True)
     first = log.withColumn("sent", F.col("arrival") * 2)
     return first.unionByName(log.where("arrival % 10 = 0").withColumn("sent", F.col("arrival") * 2 + 1))
 

@@ -34,33 +34,33 @@ def dense_rank_in(df: DataFrame, keys: Sequence[str], order: str, name: str, wei
     return df.join(bases, match, "left").select(*[c for c in df.columns if not c.startswith("__")], rank.cast("bigint").alias(name))
 
 
-def as_log(df: DataFrame, topic: Column, partition: Column, order: Column, timestamp_ms: Column, producer: Column, key: Column, value: Column, *extra: Column) -> DataFrame:
-    """``df`` as a log: offsets by ``order`` within (topic, partition), sequences within a producer's rows there.
-    ``order`` becomes ``arrival``."""
+def as_log(df: DataFrame, topic: Column, partition: Column, order: Column, timestamp_ms: Column, producer: Column, key: Column, value: Column, *extra: Column, sequences: bool = True) -> DataFrame:
+    """``df`` as a log: offsets by ``order`` within (topic, partition) and, where asked for, sequences within a producer's rows
+    there, which take a shuffle more.  ``order`` becomes ``arrival``."""
     rows = df.select(
         topic.cast("string").alias("topic"), partition.cast("int").alias("partition"), order.cast("bigint").alias("arrival"), timestamp_ms.cast("bigint").alias("timestamp_ms"),
         producer.cast("bigint").alias("producer_id"), F.lit(0).alias("producer_epoch"), key.cast("string").cast("binary").alias("key"), value.cast("string").cast("binary").alias("value"), *extra,
     )
     rows = dense_rank_in(rows, ("topic", "partition"), "arrival", "offset")
-    return dense_rank_in(rows, ("topic", "partition", "producer_id"), "arrival", "sequence")
+    return dense_rank_in(rows, ("topic", "partition", "producer_id"), "arrival", "sequence") if sequences else rows
 
 
-def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_log(spark: SparkSession, sf_dir: str, sequences: bool = False) -> DataFrame:
     """The log view of ``events``: topic is the type, partition the user modulo 3; every 50th event is a tombstone."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     value = F.when(F.col("event_id") % 50 != 0, F.col("props"))
     return as_log(
         e, F.col("event_type"), F.col("user_id") % 3, F.col("event_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000),
-        F.col("user_id"), F.col("user_id"), value, F.col("value").alias("metric"),
+        F.col("user_id"), F.col("user_id"), value, F.col("value").alias("metric"), sequences=sequences,
     )
 
 
-def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_log(spark: SparkSession, sf_dir: str, sequences: bool = False) -> DataFrame:
     """The log view of ``orders``: topic is the status, partition the customer modulo 3, arrival the order key."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return as_log(
         o, F.col("o_orderstatus"), F.col("o_custkey") % 3, F.col("o_orderkey"), F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000),
-        F.col("o_custkey"), F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_totalprice").alias("metric"),
+        F.col("o_custkey"), F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_totalprice").alias("metric"), sequences=sequences,
     )
 
 
