@@ -26,8 +26,8 @@ from logmill.llm.base import arrow_map, merged, text_input
 from logmill.llm.recompress import cut_spans
 from logmill.llm.tokens import Tokeniser, mix64, slices
 
-MAX_WORDS = 13
-COVERAGE = 0.6
+MAX_WORDS = 10
+COVERAGE = 0.5
 LEAST_WORDS = 8
 CHUNK_WORDS = 200_000
 _PAIR_BITS = 22

@@ -7,7 +7,7 @@ from logmill.llm.tokens import words_of
 from .conftest import words
 
 
-def brute(rows, items, max_words=13, coverage=0.6, least=8):
+def brute(rows, items, max_words=decontam.MAX_WORDS, coverage=decontam.COVERAGE, least=decontam.LEAST_WORDS):
     """Spans by trying every run of every document in every item."""
     grams = {}
     for item, text in items:
