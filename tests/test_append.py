@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from logmill.operators import append, cluster
@@ -32,6 +34,54 @@ def test_outcomes(spark, batches, expected):
     assert outcomes(spark, batches) == expected
 
 
+def simulate(rows, next_id):
+    """The broker's way: one batch after another, with the state of each partition."""
+    end, last, out = {}, {}, []
+    for topic, partition, batch, pid, epoch, first, seq, n in sorted(rows, key=lambda r: r[2]):
+        if n <= 0:
+            continue
+        place, key = (topic, partition), (topic, partition, pid)
+        state = last.get(key) if pid >= 0 else None
+        code, base = 0, None
+        if pid >= next_id:
+            code = 59
+        elif state and epoch < state[0]:
+            code = 47
+        elif state and epoch == state[0]:
+            if (first, seq) == state[1:3]:
+                base = state[3]
+            elif first != state[2] + 1:
+                code = 45
+        if code:
+            out.append((batch, code, -1, -1))
+            continue
+        if base is None:
+            base = (end.get(place, 0), end.get(place, 0) + n - 1)
+            end[place] = base[1] + 1
+            if pid >= 0:
+                last[key] = (epoch, first, seq, base)
+        out.append((batch, 0, *base))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_outcomes_against_a_sequential_broker(spark, seed):
+    rng = random.Random(seed)
+    rows, at = [], {}
+    for k in range(400):
+        place = ("t", rng.randrange(2), rng.choice((-1, 0, 1, 2, 9)))
+        n, first = rng.randrange(0, 4), at.get(place, 0) + rng.choice((0, 0, 0, 0, 1))
+        if rng.random() < 0.2 and rows and rows[-1][7]:
+            rows.append((*rows[-1][:2], k, *rows[-1][3:]))
+            continue
+        rows.append((*place[:2], k, place[2], rng.choice((0, 0, 0, 0, 0, 1)) if k > 200 else 0, first, first + max(n, 1) - 1, n))
+        at[place] = first + max(n, 1)
+    got = append.produce_outcomes(spark.createDataFrame(rows, BATCH), 5).collect()
+    expected = simulate(rows, 5)
+    assert sorted((r.batch, r.error_code, r.base_offset, r.last_offset) for r in got) == expected
+    assert {c for _, c, *_ in expected} == {0, 45, 47, 59}
+
+
 def test_leaders_decide_first(spark):
     leaders = lambda b: spark.createDataFrame([("t", 0, b)], "topic string, partition int, leader_id int")
     assert outcomes(spark, [(1, 0, 0, 0, 1)], leaders=leaders(1)) == [(0, 0, 0)]
