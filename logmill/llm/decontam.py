@@ -206,3 +206,28 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """Documents without the spans of ``contaminated_spans``; one of which nothing is left goes."""
     return cut_spans(docs, contaminated_spans(docs, benchmark, **limits))
+
+
+def oracle(max_words: int = MAX_WORDS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS) -> str:
+    """SQL for the rows of ``contaminated_spans`` without text_hash: runs of each item's limit are looked up, put together along
+    diagonals to whole matches, and matches that meet to spans."""
+    words = r"regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}_]+')"
+    gram = "md5(array_to_string(w[p:p + lim - 1], ' '))"
+    return f"""
+WITH items AS (
+  SELECT item_id, w, len(w) AS n, CAST(least({max_words}, greatest({least_words}, ceil({coverage} * len(w) - 1e-9))) AS BIGINT) AS lim
+  FROM (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= {least_words}),
+docs AS (SELECT doc_id, w, lim FROM (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), (SELECT DISTINCT lim FROM items)),
+item_runs AS (SELECT item_id, n, lim, p AS q, {gram} AS g FROM (SELECT *, unnest(generate_series(1, n - lim + 1)) AS p FROM items)),
+doc_runs AS (SELECT doc_id, lim, p, {gram} AS g FROM (SELECT *, unnest(generate_series(1, len(w) - lim + 1)) AS p FROM docs WHERE len(w) >= lim)),
+hits AS (SELECT DISTINCT doc_id, item_id, n, d.lim, p, p - q AS diagonal FROM doc_runs d JOIN item_runs i ON d.lim = i.lim AND d.g = i.g),
+matches AS (
+  SELECT doc_id, item_id, n, min(p) - 1 AS a, max(p) - 1 + lim AS z
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS run FROM hits) GROUP BY doc_id, item_id, n, lim, diagonal, run),
+best AS (SELECT doc_id, a, z, arg_min(item_id, n * 1000000000 + item_id) AS item_id FROM matches GROUP BY doc_id, a, z),
+marks AS (SELECT *, coalesce(a > max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM best),
+spans AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS k FROM marks),
+longest AS (SELECT doc_id, k, min(a) AS a, max(z) AS z, max(z - a) AS m FROM spans GROUP BY doc_id, k)
+SELECT l.doc_id, l.a AS start_word, l.z AS end_word, (SELECT min(s.item_id) FROM spans s WHERE s.doc_id = l.doc_id AND s.k = l.k AND s.z - s.a = l.m) AS item_id, l.m AS match_words
+FROM longest l
+"""
