@@ -1,7 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule has a pattern in the syntax of filter lists: ``*`` stands for anything, ``^`` for a separator or the end,
-a leading ``||`` anchors at a host name label, a leading or trailing ``|`` at the start or the end.  A *token* is a
+a leading ``||`` anchors at a host name label, a leading or trailing ``|`` at the start or the end.  ``^`` takes the end of
+a name, so a label with others to follow is ``||label.``, and ``||label-`` one that a hyphen continues.  A *token* is a
 maximal run of ``[a-z0-9]`` in the lower-cased URL.  A literal token of a pattern is complete when
 neither of its ends can be extended by what a match may put there, so that every URL that matches has the token.
 Each rule is filed under the one of its complete tokens that fewest URLs of the whole table contain; a
@@ -36,41 +37,41 @@ class Rule:
 
 _BLOCK = """
 ||spam-farm.example.org^
-||spam-farm.^
-||content-farm.^
-||linkfarm.^
+||spam-farm.
+||content-farm.
+||linkfarm.
 ||ads.*^
 ||ad.*^
-||adserver.^
-||adservice.^
-||doubleclick.^
-||googlesyndication.^
+||adserver.
+||adservice.
+||doubleclick.
+||googlesyndication.
 ||tracking.*^
 ||tracker.*^
 ||pixel.*^
 ||click.*^
 ||affiliate.*^
-||casino.^
-||poker.^
-||betting.^
-||gambling.^
-||porn.^
-||xxx.^
-||adult.^
-||escort.^
-||viagra.^
-||pharma-online.^
-||payday.^
-||loans.^
-||warez.^
-||torrent.^
-||crack.^
-||keygen.^
-||phishing.^
-||malware.^
-||proxy.^
-||paste.^
-||pastebin.^
+||casino.
+||poker.
+||betting.
+||gambling.
+||porn.
+||xxx.
+||adult.
+||escort.
+||viagra.
+||pharma-online.
+||payday.
+||loans.
+||warez.
+||torrent.
+||crack.
+||keygen.
+||phishing.
+||malware.
+||proxy.
+||paste.
+||pastebin.
 ||bit.ly^
 ||tinyurl.com^
 ||t.co^
@@ -154,6 +155,39 @@ _BLOCK = """
 |javascript:
 |mailto:
 |data:
+||ads-
+||spam-farm-
+||content-farm-
+||linkfarm-
+||adserver-
+||adservice-
+||doubleclick-
+||googlesyndication-
+||casino-
+||poker-
+||betting-
+||gambling-
+||porn-
+||xxx-
+||adult-
+||escort-
+||viagra-
+||pharma-online-
+||payday-
+||loans-
+||warez-
+||torrent-
+||crack-
+||keygen-
+||phishing-
+||malware-
+||proxy-
+||paste-
+||pastebin-
+||free-bets.
+||free-bets-
+||cheap-pills.
+||cheap-pills-
 """
 _ALLOW = """
 ||docs.*^
@@ -184,12 +218,12 @@ _FLAG = """
 &page=
 ?amp=
 /page/
-||m.^
-||mobile.^
-||blog.^
-||forum.^
-||shop.^
-||www.^
+||m.
+||mobile.
+||blog.
+||forum.
+||shop.
+||www.
 #top|
 #comments|
 #*

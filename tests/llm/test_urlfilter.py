@@ -55,3 +55,20 @@ def test_empty_table_and_no_rules(spark):
     assert urlfilter.apply_rules(none).count() == 0
     one = spark.createDataFrame([(1, "http://ads.x/")], "page_id bigint, url string")
     assert urlfilter.apply_rules(one, []).collect()[0].action == "keep"
+
+
+def test_host_labels_by_hand(spark):
+    blocked = ["https://www.casino.com/", "https://doubleclick.net/x", "http://x.googlesyndication.com/a", "https://spam-farm.example.com/en/1", "https://www.spam-farm.example.org/en/1", "http://m.casino-win.example.com/en/4", "https://free-bets.example.com/en/5", "https://www.cheap-pills.example.com/de/6", "https://m.ads-track.example.com/", "https://blog.adult-x.example.net/es/7", "HTTPS://PASTEBIN.COM/abc", "http://payday-loans.example.org/", "https://a.b.poker.co.uk"]
+    flagged = ["https://www.example.com/a", "https://m.example.com/a", "https://blog.example.org/", "https://mobile.example.org/", "https://forum.example.org/t/1", "https://shop.example.org/"]
+    kept = ["https://notcasino.net/", "https://casinoroyale.example.com/", "https://example.com/casino.com/", "https://example.com/?u=www.casino.com", "https://adulthood.example.org/a", "https://em.example.org/a", "https://wwwx.example.org/a"]
+    allowed = ["https://docs.casino.net/a", "https://www.adult-x.gov/"]
+    want = {u: k for k, us in (("block", blocked), ("flag", flagged), ("keep", kept), ("allow", allowed)) for u in us}
+    got = urlfilter.apply_rules(spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id bigint, url string"))
+    assert {list(want)[r.page_id]: r.action for r in got.collect()} == want
+
+
+def test_every_host_label_rule_matches_a_host():
+    for r in RULES:
+        if m := re.fullmatch(r"\|\|([a-z-]+?)([.-])", r.pattern):
+            assert re.search(to_regex(r.pattern), f"https://x.{m[1]}{m[2]}example.org/")
+        assert not re.search(r"\.\^$", r.pattern), r.pattern
