@@ -8,14 +8,16 @@ Two neighbouring words that no item has next to each other end every run.  A tab
 leaves only stretches that are long enough to reach a limit, found for whole batches at once; the
 automaton runs on these alone.  Results are as if it ran on every word.
 
-Items are broadcast ``CHUNK_WORDS`` words at a time: a benchmark beyond that takes further automata and passes.
-Nothing is shuffled.
+Items are broadcast ``CHUNK_WORDS`` words at a time: a benchmark beyond that takes further automata and passes, and
+what these find is put together by document.  Nothing else is shuffled, and nothing at all with one automaton.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +127,9 @@ def build(items: list[tuple[int | None, list[int]]], max_words: int, coverage: f
     return sam, limits, pairs, min(limit_of(len(w), max_words, coverage, least_words) for _, w in items)
 
 
-def find(h: np.ndarray, offsets: np.ndarray, built) -> list[tuple[int, int, int, int | None, int]]:
-    """(document, start, end, item, longest match) of the runs to remove, merged where they meet."""
+def find(h: np.ndarray, offsets: np.ndarray, built) -> list[tuple[int, int, int, int | None, int, int, int]]:
+    """(document, start, end, item, longest match, its start, words of the item) of the runs to remove, merged where they
+    meet; a row for each of a span's longest matches."""
     sam, limits, pairs, least = built
     out: list = []
     if len(h) < least:
@@ -137,21 +140,62 @@ def find(h: np.ndarray, offsets: np.ndarray, built) -> list[tuple[int, int, int,
     edge = np.flatnonzero(np.diff(np.concatenate(([0], seen.view(np.int8), [0]))))
     start, end = edge[0::2], edge[1::2] + 1
     long = end - start >= least
-    hits: dict[int, list[tuple[int, int, int, int | None]]] = {}
+    hits: dict[int, list[tuple[int, int, int, int | None, int]]] = {}
     for a, b in zip(start[long].tolist(), end[long].tolist()):
         doc = int(np.searchsorted(offsets, a, "right")) - 1
         base = a - int(offsets[doc])
-        found = ((base + k + 1 - n, base + k + 1, n, sam.item_of[s]) for k, (s, n) in enumerate(sam.matches(h[a:b].tolist())) if s and n >= limits[s])
+        found = ((base + k + 1 - n, base + k + 1, n, sam.item_of[s], sam.words_of[s]) for k, (s, n) in enumerate(sam.matches(h[a:b].tolist())) if s and n >= limits[s])
         hits.setdefault(doc, []).extend(found)
     for doc, own in hits.items():
-        for x, y in merged((p, q) for p, q, _, _ in own):
-            inside = [(n, item) for p, q, n, item in own if x <= p and q <= y]
-            n = max(n for n, _ in inside)
-            item = min((i for m, i in inside if m == n), key=lambda i: (i is None, i or 0))
-            out.append((doc, x, y, item, n))
+        for x, y in merged((p, q) for p, q, *_ in own):
+            inside = [hit for hit in own if x <= hit[0] and hit[1] <= y]
+            longest = max(n for _, _, n, _, _ in inside)
+            out.extend((doc, x, y, item, n, p, size) for p, _, n, item, size in inside if n == longest)
     return out
 
 
+def joined(rows: Iterable[tuple[int, int, int | None, int, int, int]]) -> list[tuple[int, int, int | None, int]]:
+    """(start, end, item, longest match) of a document's spans from the rows of ``find`` for any number of automata: spans that
+    meet become one, with the shortest item of each of its longest matches and the least of these items."""
+    rows = list(rows)
+    out = []
+    for x, y in merged((a, b) for a, b, *_ in rows):
+        inside = [r for r in rows if x <= r[0] and r[1] <= y]
+        longest = max(n for _, _, _, n, _, _ in inside)
+        best: dict[int, tuple] = {}
+        for _, _, item, n, p, size in inside:
+            if n == longest:
+                best[p] = min(best.get(p, (size, item is None, item)), (size, item is None, item), key=lambda k: (k[0], k[1], k[2] or 0))
+        out.append((x, y, min((k[2] for k in best.values()), key=lambda i: (i is None, i or 0)), longest))
+    return out
+
+
+def across(found: list[DataFrame], schema: str) -> DataFrame:
+    """The spans of several automata, put together by document; repeated rows have theirs as often as they are there."""
+    rows = found[0].withColumn("part", F.lit(0))
+    for k, more in enumerate(found[1:], 1):
+        rows = rows.unionByName(more.withColumn("part", F.lit(k)))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+    of_row = F.struct("start_word", "end_word", "item_id", "match_words", "match_start", "item_words")
+    lists = rows.groupBy("doc_id", "text_hash", "text_key").agg(F.max("times").alias("times"), F.collect_list(of_row).alias("rows"))
+
+    def join(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, spans = [], []
+        for i, (times, own) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
+            new = joined(tuple(r.values()) for r in own) * times
+            at.extend([i] * len(new))
+            spans.extend(new)
+        return span_batch(b.column(0), b.column(1), at, spans)
+
+    return arrow_map(lists, join, schema)
+
+
+def span_batch(ids: pa.Array, hashes: pa.Array, at: list[int], spans: list[tuple]) -> pa.RecordBatch:
+    rows = pa.array(at, pa.int64())
+    columns = [ids.take(rows), hashes.take(rows), *(pa.array([s[k] for s in spans], pa.int64()) for k in range(4))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "start_word", "end_word", "item_id", "match_words"])
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(doc_id, text_hash, start_word, end_word, item_id, match_words): the spans of words to remove, ``end_word`` excluded;
     ``match_words`` is the longest match in it and ``item_id`` the shortest item with that (ties: the least item_id).
@@ -162,7 +206,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
     """
     schema = "doc_id bigint, text_hash bigint, start_word bigint, end_word bigint, item_id bigint, match_words bigint"
     spark, tok = docs.sparkSession, Tokeniser()
-    docs = text_input(docs).where("text is not null").withColumn("text_hash", F.expr("xxhash64(text) & 2147483647"))
+    docs = text_input(docs).where("text is not null").withColumn("text_hash", F.expr("xxhash64(text) & 2147483647")).withColumn("text_key", F.xxhash64("text"))
 
     def chunks() -> Iterator[list[tuple[int | None, list[int]]]]:
         items, total = [], 0
@@ -177,9 +221,12 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
         if items:
             yield items
 
+    parts = [spark.sparkContext.broadcast(items) for items in chunks()]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    single = len(parts) == 1
     found = []
-    for items in chunks():
-        shared = spark.sparkContext.broadcast(items)
+    for shared in parts:
 
         def scan(b: pa.RecordBatch, state: dict = {}, shared=shared) -> pa.RecordBatch | None:  # noqa: B006
             if state.get("id") is not shared:
@@ -190,17 +237,16 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
                 rows.extend((i + d, *rest) for d, *rest in find(h, off, state["built"]))
             if not rows:
                 return None
+            if single:
+                rows = [(d, *span) for d, own in groupby(rows, itemgetter(0)) for span in joined(r[1:] for r in own)]
+                return span_batch(b.column(0), b.column(2), [r[0] for r in rows], [r[1:] for r in rows])
             at = pa.array([r[0] for r in rows], pa.int64())
-            columns = [b.column(0).take(at), b.column(2).take(at), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 5))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "start_word", "end_word", "item_id", "match_words"])
+            columns = [*(b.column(k).take(at) for k in (0, 2, 3)), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 7))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "text_key", "start_word", "end_word", "item_id", "match_words", "match_start", "item_words"])
 
-        found.append(arrow_map(docs, scan, schema))
-    if not found:
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        raw = "doc_id bigint, text_hash bigint, text_key bigint, start_word bigint, end_word bigint, item_id bigint, match_words bigint, match_start bigint, item_words bigint"
+        found.append(arrow_map(docs, scan, schema if single else raw))
+    return found[0] if single else across(found, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmill.llm.base import DOCUMENT_COLUMNS, arrow_map, cut_words, text_input
+from logmill.llm.base import DOCUMENT_COLUMNS, arrow_map, cut_words, merged, text_input
 from logmill.llm.tokens import Tokeniser, mix64, slices
 
 MIN_WORDS = 50
@@ -242,7 +242,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LE
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` (columns of documents) without the words of ``spans`` (doc_id, text_hash, start_word, end_word); n_chars is
+    """``docs`` (columns of documents) without the words of ``spans`` (doc_id, text_hash, start_word, end_word), which may overlap; n_chars is
     that of the new text.  A document of which no word is left goes; what has no span stays as it is."""
     lists = spans.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("spans"))
     docs = docs.select(*DOCUMENT_COLUMNS)
@@ -258,7 +258,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         texts, counts, keep = columns["text"].to_pylist(), columns["n_chars"].to_pylist(), np.ones(b.num_rows, bool)
         for i, spans_i in enumerate(spans_of.to_pylist()):
             if spans_i and texts[i]:
-                texts[i] = cut_words(texts[i], [(x["start_word"], x["end_word"]) for x in spans_i])
+                texts[i] = cut_words(texts[i], merged((x["start_word"], x["end_word"]) for x in spans_i))
                 counts[i] = len(texts[i])
                 keep[i] = any(c.isalnum() for c in texts[i])
         columns["text"], columns["n_chars"] = pa.array(texts, columns["text"].type), pa.array(counts, columns["n_chars"].type)

@@ -2,6 +2,7 @@ import random
 
 from logmill.llm import decontam
 from logmill.llm.base import merged
+from logmill.llm.recompress import cut_spans
 from logmill.llm.tokens import words_of
 
 from .conftest import words
@@ -81,3 +82,28 @@ def test_empty_tables(spark, make_docs):
     assert decontam.contaminated_spans(docs, none).count() == 0
     assert decontam.decontaminate(docs, none).count() == 1
     assert decontam.contaminated_spans(make_docs([]), spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id bigint, text string")).count() == 0
+
+
+def test_several_automata_give_the_rows_and_texts_of_one(spark, make_docs):
+    rng = random.Random(11)
+    w = [f"w{i}" for i in range(400)]
+    # neighbouring items share runs of 10 to 15 words and fall in different chunks
+    items = [(40 - k, " ".join(w[20 * k : 20 * k + 30 + k % 6])) for k in range(12)] + [(7, " ".join(w[300:325])), (3, " ".join(w[295:330])), (None, " ".join(w[300:325]))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(1, "Before it. " + " ".join(w[0:200]) + ". After it."), (2, " ".join(w[15:33]) + " x " + " ".join(w[300:325]) + " y"), (3, "clean text"), (None, "a " + " ".join(w[40:75]) + " b"), (4, " ".join(w[20:60]))]
+    rows += [(10 + i, " ".join(words(rng, 4, 50) + " " + " ".join(w[(a := rng.randrange(380)) : a + rng.randrange(5, 60)]) for _ in range(3))) for i in range(40)]
+    rows.append(rows[0])
+    docs = make_docs(rows)
+    one = sorted(map(tuple, decontam.contaminated_spans(docs, benchmark).collect()), key=repr)
+    texts = sorted(((r.doc_id, r.text) for r in decontam.decontaminate(docs, benchmark).collect()), key=repr)
+    assert (1, "Before it. After it.") in texts and len(one) > 40
+    for n in (25, 60):
+        assert sorted(map(tuple, decontam.contaminated_spans(docs, benchmark, chunk_words=n).collect()), key=repr) == one
+        assert sorted(((r.doc_id, r.text) for r in decontam.decontaminate(docs, benchmark, chunk_words=n).collect()), key=repr) == texts
+
+
+def test_overlapping_spans_are_cut_once(spark, make_docs):
+    text = " ".join(f"w{i}" for i in range(25))
+    docs = make_docs([(1, text)])
+    spans = docs.selectExpr("doc_id", "xxhash64(text) & 2147483647 AS text_hash", "explode(array(struct(0L AS a, 20L AS b), struct(5L AS a, 15L AS b))) AS s").selectExpr("doc_id", "text_hash", "s.a AS start_word", "s.b AS end_word")
+    assert [r.text for r in cut_spans(docs, spans).collect()] == ["w20 w21 w22 w23 w24"]
