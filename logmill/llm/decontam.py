@@ -2,7 +2,8 @@
 
 The automaton holds every run of words of every test item.  A document's words are streamed through it; after each word the
 state gives the longest run ending there that some item has.  A run is removed when it reaches ``max_words``, or
-``coverage`` of an item that has it (and ``least_words`` at any rate).
+``coverage`` of an item that has it (and ``least_words`` at any rate).  Where the longest run doesn't, the longest of
+its ends that does is removed: a shorter item may have it.
 
 Two neighbouring words that no item has next to each other end every run.  A table of the items' word pairs therefore
 leaves only stretches that are long enough to reach a limit, found for whole batches at once; the
@@ -114,23 +115,28 @@ def limit_of(item_words: int, max_words: int, coverage: float, least_words: int)
 
 
 def build(items: list[tuple[int | None, list[int]]], max_words: int, coverage: float, least_words: int):
-    """(automaton, limit of each state, table of pairs, least limit); the items have ``least_words`` words at least."""
+    """(automaton, limit of each state, its longest suffix state that reaches its own limit or 0, table of pairs, least
+    limit); the items have ``least_words`` words at least."""
     sam = Automaton()
     for _, words in items:
         sam.add(words)
     for item, words in sorted(items, key=lambda x: (len(x[1]), x[0] is None, x[0] or 0)):
         sam.own(item, words)
     limits = [limit_of(n, max_words, coverage, least_words) for n in sam.words_of]
+    ends = [0] * len(limits)
+    for s in sorted(range(1, len(limits)), key=sam.length.__getitem__):
+        t = sam.link[s]
+        ends[s] = t if t and sam.length[t] >= limits[t] else ends[t]
     pairs = np.zeros(1 << _PAIR_BITS, bool)
     for _, words in items:
         pairs[pair_hashes(np.array(words, np.uint64)) >> np.uint64(64 - _PAIR_BITS)] = True
-    return sam, limits, pairs, min(limit_of(len(w), max_words, coverage, least_words) for _, w in items)
+    return sam, limits, ends, pairs, min(limit_of(len(w), max_words, coverage, least_words) for _, w in items)
 
 
 def find(h: np.ndarray, offsets: np.ndarray, built) -> list[tuple[int, int, int, int | None, int, int, int]]:
     """(document, start, end, item, longest match, its start, words of the item) of the runs to remove, merged where they
     meet; a row for each of a span's longest matches."""
-    sam, limits, pairs, least = built
+    sam, limits, ends, pairs, least = built
     out: list = []
     if len(h) < least:
         return out
@@ -144,8 +150,13 @@ def find(h: np.ndarray, offsets: np.ndarray, built) -> list[tuple[int, int, int,
     for a, b in zip(start[long].tolist(), end[long].tolist()):
         doc = int(np.searchsorted(offsets, a, "right")) - 1
         base = a - int(offsets[doc])
-        found = ((base + k + 1 - n, base + k + 1, n, sam.item_of[s], sam.words_of[s]) for k, (s, n) in enumerate(sam.matches(h[a:b].tolist())) if s and n >= limits[s])
-        hits.setdefault(doc, []).extend(found)
+        own = hits.setdefault(doc, [])
+        for k, (s, n) in enumerate(sam.matches(h[a:b].tolist()), base + 1):
+            if s and n < limits[s]:
+                s = ends[s]
+                n = sam.length[s]
+            if s:
+                own.append((k - n, k, n, sam.item_of[s], sam.words_of[s]))
     for doc, own in hits.items():
         for x, y in merged((p, q) for p, q, *_ in own):
             inside = [hit for hit in own if x <= hit[0] and hit[1] <= y]

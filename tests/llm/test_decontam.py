@@ -107,3 +107,25 @@ def test_overlapping_spans_are_cut_once(spark, make_docs):
     docs = make_docs([(1, text)])
     spans = docs.selectExpr("doc_id", "xxhash64(text) & 2147483647 AS text_hash", "explode(array(struct(0L AS a, 20L AS b), struct(5L AS a, 15L AS b))) AS s").selectExpr("doc_id", "text_hash", "s.a AS start_word", "s.b AS end_word")
     assert [r.text for r in cut_spans(docs, spans).collect()] == ["w20 w21 w22 w23 w24"]
+
+
+def test_a_run_of_a_short_item_within_a_longer_match(spark, make_docs):
+    w = [f"w{i}" for i in range(60)]
+    # nine words of the long item (limit 10), the last eight of which are half of the short one (limit 8)
+    items = [(1, " ".join(w[:30])), (2, " ".join(w[11:19] + w[40:48]))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = make_docs([(1, "x " + " ".join(w[10:19]) + " y"), (2, "x " + " ".join(w[12:21]) + " y")])
+    for n in (decontam.CHUNK_WORDS, 16):
+        assert [tuple(r) for r in decontam.contaminated_spans(docs, benchmark, chunk_words=n).drop("text_hash").collect()] == [(1, 2, 10, 2, 8)]
+
+
+def test_items_that_share_runs_against_brute_force(spark, make_docs):
+    rng = random.Random(21)
+    pieces = [" ".join(f"p{k}w{i}" for i in range(8)) for k in range(4)]
+    text = lambda n: " ".join(rng.choice([*pieces, words(rng, 1, 4), words(rng, 2, 4)]) for _ in range(n))
+    items = [(k, text(rng.randrange(1, 6))) for k in range(40)]
+    rows = [(i, text(rng.randrange(1, 8))) for i in range(150)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted((tuple(r) for r in decontam.contaminated_spans(make_docs(rows), benchmark).collect()), key=repr)
+    assert sorted(((r[0], r[2], r[3]) for r in one), key=repr) == brute(rows, items)
+    assert sorted((tuple(r) for r in decontam.contaminated_spans(make_docs(rows), benchmark, chunk_words=100).collect()), key=repr) == one
