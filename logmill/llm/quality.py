@@ -4,8 +4,8 @@ Tokens are runs of letters and digits, told apart by being all capitals or not,
 of marks reads differently from prose.  The vocabulary is hashed to ``BUCKETS`` words.  Random indexing: each word has a sparse random
 index vector, and its word vector is the sum of the index vectors of the words within ``REACH`` places of it, over the whole
 corpus.  A document is the mean and the deviation of its words' vectors, and how far neighbours
-agree; the network gives a logit, which a
-temperature fitted on held-out rows turns into a probability.
+agree, and the mark of its most toxic word, learnt from ``labels.toxic``; the network gives a logit, which a
+temperature fitted on held-out rows turns into a probability.  Toxic counts as bad.
 
 Scale: the word vectors are one table of fixed size (``BUCKETS`` x ``DIMS`` counts), added up on the executors; only its sum
 reaches the driver.  The network is fitted on at most ``SAMPLE`` labelled rows, those whose doc_id hashes lowest.
@@ -34,6 +34,8 @@ SAMPLE = 20_000
 HIDDEN = 32
 THRESHOLD = 0.5
 FEATURES = 2 * DIMS + 1
+MARKS = 1 << 20  # buckets of the toxic words, whose low bits are those of BUCKETS
+LEAST_TOXIC = 5  # labelled toxic documents that must have a word
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -58,7 +60,7 @@ class Words:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
         """(bucket of each token, offsets of the texts)."""
         parts = [(t or "").encode("utf-8", "replace") for t in texts]
         ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
@@ -76,7 +78,7 @@ class Words:
         size = stop - edge
         shouted = (size > 1) & (capitals[stop] - capitals[edge] == size)
         h = mix64((sums[stop] - sums[edge]) * self.inverse[edge] + shouted.astype(_U) * _U(0xD6E8FEB86659FD93))
-        return (h >> _U(40)).astype(np.int64) & (BUCKETS - 1), np.concatenate(([0], np.searchsorted(edge, ends)))
+        return (h >> _U(40)).astype(np.int64) & (buckets - 1), np.concatenate(([0], np.searchsorted(edge, ends)))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +150,22 @@ def pooled(w: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarra
     return out
 
 
+def toxic_mark(toxic: int, clean: int) -> float:
+    """A cautious share of toxic documents among the labelled ones that have a word: Wilson's lower bound, three deviations."""
+    n, z = toxic + clean, 3.0
+    p = toxic / n
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
+def featured(w: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """``pooled`` and the greatest mark of a document's words, given by MARKS: a few insults don't show in a mean."""
+    worst = np.zeros(len(offsets) - 1)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        worst[full] = np.maximum.reduceat(marks[w], offsets[:-1][full])
+    return np.column_stack((pooled(w & (BUCKETS - 1), offsets, vectors), worst))
+
+
 @dataclass
 class Network:
     """Standardisation, two layers and a temperature."""
@@ -207,58 +225,80 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, hidden: int = HIDDEN) ->
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, features, quality) of at most ``sample`` labelled documents, in the order of doc_id."""
+def targets(labels: DataFrame, sample: int) -> dict[int, tuple[int, int]]:
+    """(good, toxic) of at most ``sample`` labelled doc_ids: good is quality 1 without a toxic label."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), (F.col("toxic").cast("int").eqNullSafe(1)).cast("int").alias("toxic"))
     chosen = (
-        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-        .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        known.where("doc_id is not null and (quality in (0, 1) or toxic = 1)").groupBy("doc_id")
+        .agg(F.min(F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality"))).alias("good"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    rows = {r.doc_id: r.quality for r in chosen.collect()}
+    return {r.doc_id: (r.good, r.toxic) for r in chosen.collect()}
+
+
+def labelled(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, features, good or not, marks) of at most ``sample`` labelled documents, in the order of doc_id."""
+    rows = targets(labels, sample)
     if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, FEATURES)), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros((0, FEATURES + 1)), np.zeros(0), np.zeros(MARKS, np.float32)
     spark = docs.sparkSession
     # bounded by ``sample``, so it may be broadcast at any size of the corpus
-    wanted = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(rows), pa.int64())}).to_pandas())
-    texts = text_input(docs).where("text is not null").join(F.broadcast(wanted), "doc_id", "left_semi")
-    shared = spark.sparkContext.broadcast(vectors)
+    wanted = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(rows), pa.int64()), "toxic": pa.array([rows[i][1] for i in sorted(rows)], pa.int64())}).to_pandas())
+    texts = text_input(docs).where("text is not null").join(F.broadcast(wanted), "doc_id")
+
+    def count(b: pa.RecordBatch, state: dict = {}) -> pa.RecordBatch:  # noqa: B006
+        words, texts, toxic, cells = state.setdefault("words", Words()), b.column(1).to_pylist(), b.column(2).to_numpy(), []
+        for i, j in slices(texts):
+            w, off = words(texts[i:j], MARKS)
+            pairs = np.unique(np.repeat(np.arange(j - i), np.diff(off)) * MARKS + w)
+            cells.append(toxic[i:j][pairs // MARKS] * MARKS + pairs % MARKS)
+        cell, n = np.unique(np.concatenate(cells), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cell % MARKS), pa.array(np.where(cell < MARKS, n, 0)), pa.array(np.where(cell < MARKS, 0, n))], ["word", "clean", "toxic"])
+
+    marks = np.zeros(MARKS, np.float32)
+    if any(toxic for _, toxic in rows.values()):
+        counts = arrow_map(texts, count, "word bigint, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        for r in counts.where(F.col("toxic") >= LEAST_TOXIC).collect():
+            marks[r.word] = toxic_mark(r.toxic, r.clean)
+    shared = spark.sparkContext.broadcast((vectors, marks))
 
     def features(b: pa.RecordBatch, state: dict = {}) -> pa.RecordBatch:  # noqa: B006 - one splitter a worker
         words, texts = state.setdefault("words", Words()), b.column(1).to_pylist()
-        rows = [x.astype(np.float32).tobytes() for i, j in slices(texts) for x in pooled(*words(texts[i:j]), shared.value)]
+        rows = [x.astype(np.float32).tobytes() for i, j in slices(texts) for x in featured(*words(texts[i:j], MARKS), *shared.value)]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "x"])
 
     found = {}
     for r in arrow_map(texts, features, "doc_id bigint, x binary").collect():
         found[r.doc_id] = min(found.get(r.doc_id, bytes(r.x)), bytes(r.x))
     ids = sorted(found)
-    x = np.array([np.frombuffer(found[i], np.float32) for i in ids], np.float64).reshape(len(ids), FEATURES)
-    return np.array(ids, np.int64), x, np.array([rows[i] for i in ids], float)
+    x = np.array([np.frombuffer(found[i], np.float32) for i in ids], np.float64).reshape(len(ids), FEATURES + 1)
+    return np.array(ids, np.int64), x, np.array([rows[i][0] for i in ids], float), marks
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, Network]:
     vectors = word_vectors(docs)
-    _, x, y = labelled(docs, labels, vectors, sample)
-    return vectors, fit(x, y)
+    _, x, y, marks = labelled(docs, labels, vectors, sample)
+    return vectors, marks, fit(x, y)
 
 
 def _scorer(model):
     def score(texts: list[str | None], state: dict) -> np.ndarray:
-        words, (vectors, net) = state.setdefault("words", Words()), model.value
+        words, (vectors, marks, net) = state.setdefault("words", Words()), model.value
         out = np.zeros(len(texts))
         for i, j in slices(texts):
-            w, off = words(texts[i:j])
-            out[i:j] = np.where(np.diff(off) > 0, net.probability(pooled(w, off, vectors)), 0)
+            w, off = words(texts[i:j], MARKS)
+            out[i:j] = np.where(np.diff(off) > 0, net.probability(featured(w, off, vectors, marks)), 0)
         return out
 
     return score
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, probability, keep), a row for each row of ``docs``: the calibrated probability of good quality.
+    """(doc_id, probability, keep), a row for each row of ``docs``: the calibrated probability of good quality
+    and no toxicity.
 
     Null and empty texts and those without a token: probability 0, so they are rejected.  Null doc_id: scored like any
     other row, not learnt from.  Repeated rows score alike; of a doc_id with several texts one is learnt from.  A doc_id with
-    both labels counts as bad; null or other labels are ignored.  No labels: probability 1 (keep everything that
+    both labels, or with toxic = 1, counts as bad; null or other labels are ignored.  No labels: probability 1 (keep everything that
     has a token).  Empty table: no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))

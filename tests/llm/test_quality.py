@@ -104,3 +104,18 @@ def test_pooling_is_mean_deviation_and_agreement():
     v = vectors[w[:4]].astype(float)
     assert np.allclose(got[0], np.concatenate((v.mean(0), v.std(0), [np.mean([v[i] @ v[i + 1] for i in range(3)])])), atol=1e-4)
     assert not got[1].any() and np.allclose(got[2, -1], 0) and np.allclose(got[2, : quality.DIMS], vectors[1], atol=1e-6)
+
+
+def test_toxic_documents_are_rejected(spark, make_docs):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        w, toxic = words(rng, rng.randrange(60, 200), 300).split(), int(rng.random() < 0.15)
+        for _ in range(2 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "moron", "scum"]))
+        rows.append((i, " ".join(w) + "."))
+        labels.append((i, 1, toxic))
+    known = spark.createDataFrame(labels[:800], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality.scores(make_docs(rows), known).collect() if r.keep}
+    assert np.mean([i in kept for i, _, toxic in labels[800:] if toxic]) < 0.1
+    assert np.mean([i in kept for i, _, toxic in labels[800:] if not toxic]) > 0.97
