@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from logmill.llm.tokens import fold
 
 _WORD = re.compile(r"\w+")
+_PIECE = re.compile(r"[^\x00-\x20\x7f]+")
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -22,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.  Where it is unset, a local session, as in tests, gets one of
+    its own; a cluster must name one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="logmill-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -36,11 +42,17 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there and survives lost executors."""
-    path = staged_path(df.sparkSession, name)
+def staged(df: DataFrame, name: str, after: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there and survives lost executors.  ``after`` is a staged
+    table that nothing needs once this one stands; its files go."""
+    spark = df.sparkSession
+    path = staged_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if after is not None:
+        for old in {os.path.dirname(f) for f in after.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(old)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_input(df: DataFrame, *others: str) -> DataFrame:
@@ -64,24 +76,57 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _clusters(piece: str) -> list[str]:
+    """``piece`` cut before each character that starts a combining sequence."""
+    cuts = [i for i, c in enumerate(piece) if not i or not unicodedata.combining(c)]
+    return [piece[a:b] for a, b in zip(cuts, [*cuts[1:], len(piece)])]
+
+
+def word_starts(text: str) -> list[int]:
+    """Where in ``text`` each word of its folded form begins.
+
+    Blanks never compose, so what stands between them folds by itself.  In a piece whose folded form has other words than the
+    piece, each character with its marks is folded by itself; the words of a character that gives several begin where it does.
+    """
+    if text.isascii():
+        return [m.start() for m in _WORD.finditer(text)]
+    out: list[int] = []
+    for m in _PIECE.finditer(text):
+        piece, at = m.group(), m.start()
+        if piece.isascii():
+            out.extend(at + w.start() for w in _WORD.finditer(piece))
+            continue
+        folded = fold(piece)
+        n, plain = len(_WORD.findall(folded)), [w.start() for w in _WORD.finditer(piece)]
+        if n == len(plain) and unicodedata.is_normalized("NFKC", piece) and len(piece.casefold()) == len(piece):
+            out.extend(at + w for w in plain)
+            continue
+        where, parts, here = [], [], 0
+        for cluster in _clusters(piece):
+            parts.append(fold(cluster))
+            where.extend([here] * len(parts[-1]))
+            here += len(cluster)
+        found = [where[w.start()] for w in _WORD.finditer("".join(parts))]
+        # compositions across characters don't add or remove words; if they did, the piece would count as one character
+        out.extend(at + w for w in (found if len(found) == n else [0] * n))
+    return out
+
+
 def cut_words(text: str, spans: Iterable[tuple[int, int]]) -> str:
     """``text`` without the words of the spans ``[a, b)``, sorted and disjoint; what follows the last word
     of a span up to the next word goes with it.
 
-    Words are counted in the folded text.  Where folding changes the number of words (letters that
-    normalise to several words), the folded text is cut and returned.
+    Words are counted in the folded text and cut from the text itself, whose case and marks stay.  A character that
+    folds to several words goes with the first of them that goes.
     """
-    folded = fold(text)
-    at = [m.start() for m in _WORD.finditer(text)]
-    if not text.isascii():
-        n = len(_WORD.findall(folded))
-        if n != len(at):
-            text, at = folded, [m.start() for m in _WORD.finditer(folded)]
+    at = word_starts(text)
     kept, here = [], 0
     for a, b in spans:
         if a >= len(at):
             break
-        kept.append(text[here : at[a]])
+        kept.append(text[here : max(here, at[a])])
+        while b < len(at) and at[b] == at[b - 1]:
+            b += 1
         here = at[b] if b < len(at) else len(text)
     kept.append(text[here:])
     return "".join(kept)
