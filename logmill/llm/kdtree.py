@@ -5,6 +5,9 @@ than ``target_bytes`` is split along its widest dimension (its extent as a share
 this order) at the weighted median: the left half takes the values up to the least one with which it has half of
 the bytes, and at least one value stays for the right.  Only a node whose rows are all alike stays larger.
 
+A row without a doc_id stands with the least doc_id there is, so that it stretches no dimension.  Extents are Python
+integers and positions within a span unsigned ones: any 64-bit doc_id will do.
+
 The metadata are written once, without the texts.  Nodes with more than ``local_rows`` rows are split by passes over them that send
 the driver a histogram a node, narrowed until the median stands; the tree goes out with the next pass.  A smaller node is
 finished by one task.  Both find the same exact medians, so ``local_rows`` doesn't change the result.
@@ -30,10 +33,10 @@ _EXTENTS = [f"{f}{k}" for k in range(len(DIMS)) for f in ("lo", "hi")]
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """(doc_id, bytes, d0..d3).  Null doc_id counts as the least value, null text as no bytes, null strings as -1."""
+    """(doc_id, bytes, d0..d3).  Null text counts as no bytes, null strings as -1; ``d0`` stays null with the doc_id."""
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint")
     crc = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(-1)).cast("bigint")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("bytes"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 62))).alias("d0"), size.alias("d1"), crc("source").alias("d2"), crc("lang").alias("d3"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("bytes"), F.col("doc_id").cast("bigint").alias("d0"), size.alias("d1"), crc("source").alias("d2"), crc("lang").alias("d3"))
 
 
 def widest(lo: list[int], hi: list[int], root: list[int]) -> int | None:
@@ -109,6 +112,7 @@ def _node_stats(meta: DataFrame, tree: dict, wanted: set[int]) -> dict[int, dict
 
     aggs = [F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), *((F.min if c[:2] == "lo" else F.max)(c).alias(c) for c in _EXTENTS)]
     rows = meta.mapInArrow(each, schema).groupBy("node").agg(*aggs).collect()
+    shared.unpersist()
     return {r.node: {"bytes": r.bytes, "n": r.n, "lo": [r[f"lo{k}"] for k in range(len(DIMS))], "hi": [r[f"hi{k}"] for k in range(len(DIMS))]} for r in rows}
 
 
@@ -128,7 +132,7 @@ def _medians(meta: DataFrame, tree: dict, nodes: dict[int, dict], dims: dict[int
             tree, open_ = shared.value
             ids = np.array(sorted(open_), np.int64)
             dim, lo, hi = (np.array([open_[n][k] for n in ids], np.int64) for k in range(3))
-            step = (hi - lo) // bins + 1
+            step = np.array([(open_[n][2] - open_[n][1]) // bins + 1 for n in ids], np.uint64)
             for b in batches:
                 x, w = _arrays(b)
                 node = _descend(x, tree)
@@ -136,10 +140,11 @@ def _medians(meta: DataFrame, tree: dict, nodes: dict[int, dict], dims: dict[int
                 value = x[np.arange(len(x)), dim[at]]
                 use = (ids[at] == node) & (value >= lo[at]) & (value <= hi[at])
                 at, value, w, node = at[use], value[use], w[use], node[use]
-                frame = pd.DataFrame({"node": node, "bin": (value - lo[at]) // step[at], "bytes": w, "least": value, "most": value})
+                frame = pd.DataFrame({"node": node, "bin": ((value.astype(np.uint64) - lo[at].astype(np.uint64)) // step[at]).astype(np.int64), "bytes": w, "least": value, "most": value})
                 yield pa.RecordBatch.from_pandas(frame.groupby(["node", "bin"], as_index=False).agg({"bytes": "sum", "least": "min", "most": "max"}), preserve_index=False)
 
         rows = meta.mapInArrow(each, "node bigint, bin bigint, bytes bigint, least bigint, most bigint").groupBy("node", "bin").agg(F.sum("bytes").alias("bytes"), F.min("least").alias("least"), F.max("most").alias("most")).collect()
+        shared.unpersist()
         by_node: dict[int, list] = {}
         for r in rows:
             by_node.setdefault(r.node, []).append(r)
@@ -163,11 +168,12 @@ def shards(docs: DataFrame, target_bytes: int = TARGET_BYTES, local_rows: int =
     """(doc_id, bytes, shard), a row for each row of ``docs``: the leaf that it belongs to, as its path from the root in bits
     behind a leading 1 (0 the lesser half).
 
-    Null doc_id: less than all others.  Null or empty text: 0 bytes.  Null source or language: less than all
+    Null doc_id: where the least doc_id is (0 where there is none).  Null or empty text: 0 bytes.  Null source or language: less than all
     others.  Ties and repeated rows: rows that are alike in all dimensions share a leaf, which may then exceed the target.
     Empty table: no rows.
     """
     meta = staged(metadata(docs), "metadata")
+    meta = meta.withColumn("d0", F.coalesce("d0", F.lit(meta.agg(F.min("d0")).first()[0] or 0).cast("bigint")))
     tree: dict[int, tuple[int, int]] = {}
     stats = _node_stats(meta, tree, {1})
     if not stats:

@@ -10,7 +10,8 @@ from logmill.llm import kdtree
 def brute(rows, target):
     """Leaf of each row by plain recursion over sorted lists."""
     crc = lambda s: -1 if s is None else zlib.crc32(s.encode())
-    points = [((-(1 << 62) if i is None else i), len((t or "").encode()), crc(s), crc(g)) for i, t, g, s in rows]
+    least = min((r[0] for r in rows if r[0] is not None), default=0)
+    points = [((least if i is None else i), len((t or "").encode()), crc(s), crc(g)) for i, t, g, s in rows]
     weight = [p[1] for p in points]
     leaf = [0] * len(rows)
     root = [max(1, max(p[k] for p in points) - min(p[k] for p in points)) for k in range(4)]
@@ -67,3 +68,21 @@ def test_small_empty_and_alike(spark):
     alike = spark.createDataFrame([(1, "abc", "en", "s")] * 5, kinds)
     for local_rows in (1, 100):
         assert {r.shard for r in kdtree.shards(alike, 4, local_rows).collect()} == {1}
+
+
+@pytest.mark.parametrize("local_rows", [1, 1_000_000])
+def test_extreme_ids_and_nulls_whatever_the_driver_splits(spark, local_rows):
+    kinds = "doc_id bigint, text string, lang string, source string"
+    ids = [None, 5, 2**63 - 2, 2**63 - 1, -(2**63), -(2**63) + 1, None, 0, 7]
+    for chosen in (ids, ids[:3], [None, 1, 2, 3, 4], [None, None]):
+        rows = [(i, "x" * (3 + k), "en", "s") for k, i in enumerate(chosen)]
+        got = kdtree.shards(spark.createDataFrame(rows, kinds), target_bytes=6, local_rows=local_rows).collect()
+        assert sorted(((r.doc_id, r.bytes, r.shard) for r in got), key=repr) == brute(rows, 6)
+
+
+def test_a_very_long_text_has_a_leaf_of_its_own_size(spark):
+    rows = [(k, "y" * 10, "en", "s") for k in range(30)] + [(30, "z" * 3_000_000, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    for local_rows in (1, 1000):
+        got = kdtree.shards(docs, target_bytes=100, local_rows=local_rows).collect()
+        assert sorted(((r.doc_id, r.bytes, r.shard) for r in got), key=repr) == brute(rows, 100)
