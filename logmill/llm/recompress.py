@@ -9,7 +9,7 @@ equal symbols wherever those bounds lie within them, whatever surrounds them.
 
 1. ``LEVELS`` rounds, then one shuffle brings equal high-level symbols together and finds those that two documents share.
 2. A window of ``min_words`` words can only repeat if every symbol bound within it is shared.  Such windows - few outside
-   repeated passages - are hashed whole and a second shuffle finds, for each, the least doc_id that has it.
+   repeated passages - are hashed whole, to 128 bits, and a second shuffle finds, for each, the least doc_id that has it.
 3. A window that a lesser doc_id has too is repeated; the union of a document's repeated windows is removed.
 
 The test in 2 is a necessary condition, so the result is that of comparing all windows of all documents.
@@ -129,26 +129,31 @@ _W = _U(0xD6E8FEB86659FD93)
 
 
 class _Windows:
-    """Hashes of all windows of n words, by prefix sums."""
+    """128-bit hashes of all windows of n words, by prefix sums: two sums over independently mixed words."""
 
     def __init__(self, n: int) -> None:
         self.n, self.power, self.inverse = n, np.ones(1, _U), np.ones(1, _U)
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
+    def __call__(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the hash of each window that begins at one of ``at``."""
         if len(self.power) < len(h):
             m = 1 << (len(h) - 1).bit_length()
             for name, base in (("power", int(_W)), ("inverse", pow(int(_W), -1, 1 << 64))):
                 p = np.full(m, base, _U)
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
-        sums = np.zeros(len(h) + 1, _U)
-        np.cumsum(h * self.power[: len(h)], out=sums[1:])
-        return mix64((sums[self.n :] - sums[: -self.n]) * self.inverse[: len(h) - self.n + 1])
+        out = []
+        for words in (h, mix64(h ^ _C)):
+            sums = np.zeros(len(h) + 1, _U)
+            np.cumsum(words * self.power[: len(h)], out=sums[1:])
+            out.append(mix64((sums[at + self.n] - sums[at]) * self.inverse[at]))
+        return out[0], out[1]
 
 
 def _comparable(docs: DataFrame, min_words: int) -> DataFrame:
-    """Documents that can hold a window: n words take 2n-1 characters at least."""
-    return text_input(docs).where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * min_words - 1))
+    """Documents that can hold a window: n words take 2n-1 characters of ASCII at least; beyond ASCII a character may be several."""
+    long = (F.length("text") >= 2 * min_words - 1) | (F.octet_length("text") > F.length("text"))
+    return text_input(docs).where(F.col("doc_id").isNotNull() & long)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LEVELS) -> DataFrame:
@@ -189,7 +194,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LE
         versions = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         lists = b.column(3)
         flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        hashes, owners, at = [], [], []
+        hashes, checks, owners, at = [], [], [], []
         for i, h, offsets, d, place, _, lo, hi in _parsed(b.column(1).to_pylist(), min_words, levels, tok):
             n = len(h)
             if n < min_words:
@@ -209,16 +214,17 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LE
             starts, owner = starts[inside], owner[inside]
             if not len(starts):
                 continue
-            hashes.append(hashed(h)[starts].view(np.int64))
+            for column, half in zip((hashes, checks), hashed(h, starts)):
+                column.append(half.view(np.int64))
             owners.append(ids[i + owner])
             at.append((versions[i + owner] << 32) | (starts - offsets[owner]))
         if not hashes:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, owners, at)], ["window", "doc_id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, checks, owners, at)], ["window", "check", "doc_id", "at"])
 
-    passed = arrow_map(marked, windows, "window bigint, doc_id bigint, at bigint")
+    passed = arrow_map(marked, windows, "window bigint, check bigint, doc_id bigint, at bigint")
     repeated = (
-        passed.withColumn("first_doc_id", F.min("doc_id").over(Window.partitionBy("window"))).where("first_doc_id < doc_id")
+        passed.withColumn("first_doc_id", F.min("doc_id").over(Window.partitionBy("window", "check"))).where("first_doc_id < doc_id")
         .groupBy("doc_id", F.expr("at >> 32").alias("text_hash")).agg(F.collect_list(F.expr("cast(at & 4294967295 as int)")).alias("at"), F.collect_list("first_doc_id").alias("firsts"))
     )
 

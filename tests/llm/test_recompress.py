@@ -109,3 +109,21 @@ def test_combining_a_batch_leaves_no_hot_name():
     for n in set(name[known].tolist()):
         rows = told[told.name == n]
         assert sorted(rows.doc_id) == [owner[name == n].min(), owner[name == n].max()]
+
+
+def test_characters_that_fold_to_several_words(make_docs):
+    sallallahou = "\ufdfa"  # four words
+    rows = [(1, " ".join([sallallahou] * 20)), (2, " ".join([sallallahou] * 20) + " tail"), (3, "½ " * 30), (4, "½ " * 30), (5, " ".join([sallallahou] * 12))]
+    got = recompress.repeated_spans(make_docs(rows))
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got.collect()) == brute(rows, 50) == [(2, 0, 80), (4, 0, 60)]
+    assert sorted((r.doc_id, r.text) for r in recompress.drop_repeats(make_docs(rows)).collect()) == [(1, rows[0][1]), (2, "tail"), (3, rows[2][1]), (5, rows[4][1])]
+
+
+def test_window_hashes_have_two_independent_halves():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    h[200:260] = h[20:80]
+    at = np.arange(len(h) - 50 + 1)
+    one, two = recompress._Windows(50)(h, at)
+    assert (one[200:211] == one[20:31]).all() and (two[200:211] == two[20:31]).all() and len(set(one.tolist())) == len(set(two.tolist())) == len(at) - 11
+    assert not (one == two).any()
