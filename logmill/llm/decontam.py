@@ -2,20 +2,22 @@
 
 The automaton holds every run of words of every test item.  A document's words are streamed through it; after each word the
 state gives the longest run ending there that some item has.  A run is removed when it reaches ``max_words``, or
-``coverage`` of an item that has it (and ``least_words`` at any rate).  Where the longest run doesn't, the longest of
-its ends that does is removed: a shorter item may have it.
+``coverage`` of an item that has it (and ``least_words`` at any rate, or the whole of an item that is shorter).  Where the
+longest run doesn't, the longest of its ends that does is removed: a shorter item may have it.
 
 Two neighbouring words that no item has next to each other end every run.  A table of the items' word pairs therefore
 leaves only stretches that are long enough to reach a limit, found for whole batches at once; the
 automaton runs on these alone.  Results are as if it ran on every word.
 
 Items are broadcast ``CHUNK_WORDS`` words at a time: a benchmark beyond that takes further automata and passes, and
-what these find is put together by document.  Nothing else is shuffled, and nothing at all with one automaton.
+what these find is put together by document.  Nothing else is shuffled, and nothing at all with one automaton.  A Python worker
+builds an automaton once and keeps it for its next tasks.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -32,6 +34,7 @@ from logmill.llm.tokens import Tokeniser, mix64, slices
 MAX_WORDS = 10
 COVERAGE = 0.5
 LEAST_WORDS = 8
+SHORT_WORDS = 5  # shorter items are phrases that any text may hold
 CHUNK_WORDS = 200_000
 _PAIR_BITS = 22
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -110,13 +113,13 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def limit_of(item_words: int, max_words: int, coverage: float, least_words: int) -> int:
-    """The number of words from which a run of an item of so many words is removed."""
-    return min(max_words, max(least_words, math.ceil(coverage * item_words - 1e-9)))
+    """The number of words from which a run of an item of so many words is removed; it grows with the item."""
+    return min(item_words, max_words, max(least_words, math.ceil(coverage * item_words - 1e-9)))
 
 
 def build(items: list[tuple[int | None, list[int]]], max_words: int, coverage: float, least_words: int):
     """(automaton, limit of each state, its longest suffix state that reaches its own limit or 0, table of pairs, least
-    limit); the items have ``least_words`` words at least."""
+    limit); the items have SHORT_WORDS words at least."""
     sam = Automaton()
     for _, words in items:
         sam.add(words)
@@ -133,6 +136,18 @@ def build(items: list[tuple[int | None, list[int]]], max_words: int, coverage: f
     return sam, limits, ends, pairs, min(limit_of(len(w), max_words, coverage, least_words) for _, w in items)
 
 
+_built: dict = {}
+
+
+def built_once(key: tuple, items: list[tuple[int | None, list[int]]], max_words: int, coverage: float, least_words: int):
+    """``build`` of a query's items, kept by the worker; with the first of another query those before it go."""
+    if key not in _built:
+        for old in [k for k in _built if k[0] != key[0]]:
+            del _built[old]
+        _built[key] = build(items, max_words, coverage, least_words)
+    return _built[key]
+
+
 def find(h: np.ndarray, offsets: np.ndarray, built) -> list[tuple[int, int, int, int | None, int, int, int]]:
     """(document, start, end, item, longest match, its start, words of the item) of the runs to remove, merged where they
     meet; a row for each of a span's longest matches."""
@@ -211,7 +226,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
     """(doc_id, text_hash, start_word, end_word, item_id, match_words): the spans of words to remove, ``end_word`` excluded;
     ``match_words`` is the longest match in it and ``item_id`` the shortest item with that (ties: the least item_id).
 
-    Items under ``least_words`` words, empty and null ones are not searched for; repeated items count once each, ties
+    Items under ``least_words`` words are found whole; those under SHORT_WORDS, empty and null ones are not searched for; repeated items count once each, ties
     going to the least item_id, null last.  Null doc_id: searched like any other row.  Null or empty text: no
     spans.  Repeated rows have their spans once each.  Empty documents or benchmark: no rows.
     """
@@ -223,7 +238,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
         items, total = [], 0
         for row in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
             words = tok([row.text])[0].tolist()
-            if len(words) >= least_words:
+            if len(words) >= SHORT_WORDS:
                 items.append((row.item_id, words))
                 total += len(words)
             if total >= chunk_words:
@@ -235,17 +250,16 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = M
     parts = [spark.sparkContext.broadcast(items) for items in chunks()]
     if not parts:
         return spark.createDataFrame([], schema)
-    single = len(parts) == 1
+    single, run = len(parts) == 1, uuid.uuid4().hex
     found = []
-    for shared in parts:
+    for k, shared in enumerate(parts):
 
-        def scan(b: pa.RecordBatch, state: dict = {}, shared=shared) -> pa.RecordBatch | None:  # noqa: B006
-            if state.get("id") is not shared:
-                state.update(id=shared, tok=Tokeniser(), built=build(shared.value, max_words, coverage, least_words))
+        def scan(b: pa.RecordBatch, state: dict = {}, k=k, shared=shared) -> pa.RecordBatch | None:  # noqa: B006 - one tokeniser a task
+            tok, built = state.setdefault("tok", Tokeniser()), built_once((run, k), shared.value, max_words, coverage, least_words)
             texts, rows = b.column(1).to_pylist(), []
             for i, j in slices(texts):
-                h, off = state["tok"](texts[i:j])
-                rows.extend((i + d, *rest) for d, *rest in find(h, off, state["built"]))
+                h, off = tok(texts[i:j])
+                rows.extend((i + d, *rest) for d, *rest in find(h, off, built))
             if not rows:
                 return None
             if single:
@@ -272,8 +286,8 @@ def oracle(max_words: int = MAX_WORDS, coverage: float = COVERAGE, least_words:
     gram = "md5(array_to_string(w[p:p + lim - 1], ' '))"
     return f"""
 WITH items AS (
-  SELECT item_id, w, len(w) AS n, CAST(least({max_words}, greatest({least_words}, ceil({coverage} * len(w) - 1e-9))) AS BIGINT) AS lim
-  FROM (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= {least_words}),
+  SELECT item_id, w, len(w) AS n, CAST(least(len(w), {max_words}, greatest({least_words}, ceil({coverage} * len(w) - 1e-9))) AS BIGINT) AS lim
+  FROM (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= {SHORT_WORDS}),
 docs AS (SELECT doc_id, w, lim FROM (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), (SELECT DISTINCT lim FROM items)),
 item_runs AS (SELECT item_id, n, lim, p AS q, {gram} AS g FROM (SELECT *, unnest(generate_series(1, n - lim + 1)) AS p FROM items)),
 doc_runs AS (SELECT doc_id, lim, p, {gram} AS g FROM (SELECT *, unnest(generate_series(1, len(w) - lim + 1)) AS p FROM docs WHERE len(w) >= lim)),

@@ -13,7 +13,7 @@ def brute(rows, items, max_words=decontam.MAX_WORDS, coverage=decontam.COVERAGE,
     grams = {}
     for item, text in items:
         w = words_of(text)
-        if len(w) < least:
+        if len(w) < decontam.SHORT_WORDS:
             continue
         limit = decontam.limit_of(len(w), max_words, coverage, least)
         for i in range(len(w) - limit + 1):
@@ -129,3 +129,21 @@ def test_items_that_share_runs_against_brute_force(spark, make_docs):
     one = sorted((tuple(r) for r in decontam.contaminated_spans(make_docs(rows), benchmark).collect()), key=repr)
     assert sorted(((r[0], r[2], r[3]) for r in one), key=repr) == brute(rows, items)
     assert sorted((tuple(r) for r in decontam.contaminated_spans(make_docs(rows), benchmark, chunk_words=100).collect()), key=repr) == one
+
+
+def test_short_items_are_found_whole(spark, make_docs):
+    items = [(1, "who wrote the first letter"), (2, "one two three four"), (3, "a b c d e f g"), (4, " ".join(f"w{i}" for i in range(20)))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(1, "Q: Who wrote the first letter? A."), (2, "who wrote the first note; one two three four"), (3, "x a b c d e f"), (4, "a b c d e f g who wrote the first letter"), (5, " ".join(f"w{i}" for i in range(9)))]
+    got = decontam.contaminated_spans(make_docs(rows), benchmark)
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.item_id, r.match_words) for r in got.collect()) == [(1, 1, 6, 1, 5), (4, 0, 12, 3, 7)]
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got.collect()) == brute(rows, items)
+
+
+def test_a_worker_keeps_only_the_automata_of_one_query():
+    items = [(1, list(range(8)))]
+    first = decontam.built_once(("a", 0), items, 10, 0.5, 8)
+    assert decontam.built_once(("a", 0), None, 10, 0.5, 8) is first
+    decontam.built_once(("a", 1), items, 10, 0.5, 8)
+    decontam.built_once(("b", 0), items, 10, 0.5, 8)
+    assert list(decontam._built) == [("b", 0)]
