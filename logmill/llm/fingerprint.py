@@ -3,9 +3,10 @@
 The canonical form is NFKC, case folding, NFKC again, and every run of white space as one blank with none at
 the ends.  Documents are copies when their canonical forms are equal byte for byte.
 
-Scale: a first pass shuffles only 16-byte digests and leaves a bitmap of fixed size (``FILTER_BITS``) of the digests
-that occur twice.  The second pass sends canonical text into the shuffle only for documents whose
-digest is in the bitmap; every other one is known to be alone.  What is broadcast has the same size at any input.
+Scale: a first pass shuffles only 16-byte digests and leaves a bitmap of the digests that occur twice, sixteen bits for each
+of them but at most ``MOST_BITS`` (32 MB, so what is broadcast is bounded).  The second pass sends canonical text
+into the shuffle only for documents whose digest is in the bitmap; every other one is known to be alone.  Beyond 16 million
+repeated digests the bitmap fills and more lone texts are shuffled with the rest; the result stays the same.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmill.llm.base import arrow_map, text_input
+from logmill.llm.base import arrow_map, staged, text_input
 
-FILTER_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def canonical(text: str) -> str:
@@ -45,21 +46,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(text_input(docs), digest, "doc_id bigint, digest binary")
 
 
-def _slot(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little") % FILTER_BITS
+def repeated_filter(docs: DataFrame, most_bits: int = MOST_BITS) -> bytes:
+    """Bitmap with the slots of all digests that occur more than once; its size is a power of two."""
 
-
-def repeated_filter(docs: DataFrame) -> bytes:
-    """Bitmap of ``FILTER_BITS`` bits with the slots of all digests that occur more than once."""
-
-    def slots(b: pa.RecordBatch) -> pa.RecordBatch:
+    def halves(b: pa.RecordBatch) -> pa.RecordBatch:
         d = [x for x in _digests(b.column(1).to_pylist())[1] if x is not None]
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array([_slot(x) for x in d], pa.int64())], ["digest", "slot"])
-
-    twice = arrow_map(text_input(docs), slots, "digest binary, slot bigint").groupBy("digest", "slot").agg(F.count("*").alias("n")).where("n > 1")
-    bitmaps = twice.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
-    out = bytearray(FILTER_BITS // 8)
-    for row in bitmaps.collect():  # 256 rows of 4 KiB at most
+        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[k : k + 8], "little", signed=True) for x in d], pa.int64()) for k in (0, 8)], ["low", "high"])
+
+    twice = staged(arrow_map(text_input(docs), halves, "low bigint, high bigint").groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low"), "digests")
+    bits = min(most_bits, max(min(LEAST_BITS, most_bits), 1 << (16 * twice.count() - 1).bit_length()))
+    slot = F.col("low").bitwiseAND(F.lit(bits - 1)) + 1
+    bitmaps = twice.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+    out = bytearray(bits // 8)
+    for row in bitmaps.collect():  # 8192 rows of 4 KiB at most
         out[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
     return bytes(out)
 
@@ -78,8 +77,9 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
     def second(b: pa.RecordBatch) -> pa.RecordBatch:
         bits = shared.value
+        last = 8 * len(bits) - 1
         canon, digest = _digests(b.column(1).to_pylist())
-        lone = [None if d is None else not bits[(p := _slot(d)) >> 3] >> (p & 7) & 1 for d in digest]
+        lone = [None if d is None else not bits[(p := int.from_bytes(d[:8], "little") & last) >> 3] >> (p & 7) & 1 for d in digest]
         canon = [None if alone or alone is None else c for c, alone in zip(canon, lone)]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(canon, pa.binary()), pa.array(lone, pa.bool_())], ["doc_id", "digest", "canon", "lone"])
 

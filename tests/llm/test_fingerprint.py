@@ -57,12 +57,20 @@ def test_bytes_are_compared_inside_equal_buckets(make_docs, monkeypatch):
     assert rows == {1: (1, 1), 2: (2, 2), 3: (2, 2), 4: (4, 1)}
 
 
-def test_filter_has_every_repeated_digest_and_a_fixed_size(make_docs):
+def test_filter_has_every_repeated_digest_and_a_bounded_size(make_docs):
     bits = fingerprint.repeated_filter(make_docs(ROWS))
-    assert len(bits) == fingerprint.FILTER_BITS // 8
-    slot = fingerprint._slot(fingerprint._digests(["hello world"])[1][0])
+    assert len(bits) == fingerprint.LEAST_BITS // 8
+    slot = int.from_bytes(fingerprint._digests(["hello world"])[1][0][:8], "little") % (8 * len(bits))
     assert bits[slot >> 3] >> (slot & 7) & 1
-    assert fingerprint.repeated_filter(make_docs([(1, "a")])) == bytes(fingerprint.FILTER_BITS // 8)
+    assert fingerprint.repeated_filter(make_docs([(1, "a")])) == bytes(fingerprint.LEAST_BITS // 8)
+    many = make_docs([(k, f"t{k // 2}") for k in range(200)])
+    assert len(fingerprint.repeated_filter(many, 1 << 16)) == 1 << 13 and sum(map(int.bit_count, fingerprint.repeated_filter(many))) == 100
+
+
+def test_a_full_filter_changes_no_group(make_docs, monkeypatch):
+    monkeypatch.setattr(fingerprint, "repeated_filter", lambda docs: b"\xff" * 4096)
+    got = fingerprint.duplicate_groups(make_docs(ROWS)).collect()
+    assert sorted(((r.doc_id, r.first_doc_id, r.copies) for r in got), key=repr) == brute(ROWS)
 
 
 def test_empty_table(make_docs):
