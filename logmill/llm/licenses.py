@@ -150,12 +150,25 @@ RULES = _rules()
 def resolve(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of (priority, rule_id, start, end) those that don't lie within one taken before, by start.
 
-    Taken in order of priority, then the longer, the earlier, the lesser rule_id.
+    Taken in order of priority, then the longer, the earlier, the lesser rule_id.  A binary indexed tree over the starts keeps the
+    greatest end taken so far, so a text with very many matches costs no square of them.
     """
+    starts = sorted({m[2] for m in matches})
+    place = {s: i + 1 for i, s in enumerate(starts)}
+    furthest = [-1] * (len(starts) + 1)
     taken: list[tuple[int, int, int, int]] = []
     for m in sorted(set(matches), key=lambda m: (m[0], m[2] - m[3], m[2], m[1])):
-        if not any(t[2] <= m[2] and m[3] <= t[3] for t in taken):
-            taken.append(m)
+        i, end = place[m[2]], -1
+        while i:
+            end = max(end, furthest[i])
+            i &= i - 1
+        if end >= m[3]:
+            continue
+        taken.append(m)
+        i = place[m[2]]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], m[3])
+            i += i & -i
     return sorted(taken, key=lambda m: (m[2], m[3], m[1]))
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 import re._parser as parser
 
 import pytest
@@ -68,6 +69,37 @@ def test_resolution_drops_what_a_better_match_contains():
     assert resolve([]) == []
 
 
+def plain(text):
+    """Every rule by itself, and of all pairs of matches those dropped that lie in a better one that stays."""
+    found = [(r.priority, -(m.end() - m.start()), m.start(), i, m.end()) for i, r in enumerate(RULES) for m in re.finditer(r.pattern, text, re.I | re.S) if m.end() > m.start()]
+    found = sorted(set(found))
+    stays = []
+    for k, (_, _, a, _, b) in enumerate(found):
+        stays.append(not any(stays[j] and found[j][2] <= a and b <= found[j][4] for j in range(k)))
+    return sorted((RULES[f[3]].license, RULES[f[3]].kind, RULES[f[3]].rule_id, f[2], f[4]) for f, s in zip(found, stays) if s)
+
+
+def test_the_operator_against_every_rule_and_all_pairs(spark):
+    rng = random.Random(12)
+    names = [r.license for r in RULES]
+    seeds = ["SPDX-License-Identifier: ", "Licensed under the ", "MIT License", "CC BY-SA 4.0", "GNU General Public License", " version 2 or later", "All rights reserved.", "Copyright (c) 2021 ", "\n", " and ", "BSD 3-Clause", "https://opensource.org/licenses/MIT ", "Apache License, Version 2.0"]
+    rows = [(k, "".join(rng.choice([*seeds, f" {rng.choice(names)} "]) for _ in range(rng.randrange(25)))) for k in range(80)]
+    got = sorted((r.doc_id, r.license, r.kind, r.rule_id, r.start_char, r.end_char) for r in licenses.detections(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted((k, *hit) for k, t in rows for hit in plain(t)) and len(got) > 200
+
+
+def test_resolution_of_random_intervals_and_of_very_many():
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [(rng.randrange(4), rng.randrange(9), a := rng.randrange(30), a + rng.randrange(1, 12)) for _ in range(rng.randrange(40))]
+        taken = []
+        for m in sorted(set(found), key=lambda m: (m[0], m[2] - m[3], m[2], m[1])):
+            if all(not (t[2] <= m[2] and m[3] <= t[3]) for t in taken):
+                taken.append(m)
+        assert sorted(resolve(found)) == sorted(taken)
+    assert len(resolve([(0, 1, 2 * k, 2 * k + 1) for k in range(200_000)])) == 200_000
+
+
 def test_prefilter_changes_nothing():
     scanner = Scanner(RULES)
     seeds = ["Licensed under ", "the ", "MIT license", "CC BY 4.0", " GNU General Public License", " version 2", "copyright 2020 ", "all rights reserved", "x", "\n", "Apache ", "2.0", "ſource "]
