@@ -7,8 +7,8 @@ corpus.  A document is the mean and the deviation of its words' vectors, and how
 agree, and the mark of its most toxic word, learnt from ``labels.toxic``; the network gives a logit, which a
 temperature fitted on held-out rows turns into a probability.  Toxic counts as bad.
 
-Scale: the word vectors are one table of fixed size (``BUCKETS`` x ``DIMS`` counts), added up on the executors; only its sum
-reaches the driver.  The network is fitted on at most ``SAMPLE`` labelled rows, those whose doc_id hashes lowest.
+Scale: the word vectors are one table of fixed size (``BUCKETS`` x ``DIMS`` counts), added up on the executors by at most ``TASKS``
+tasks, each over many splits, and then in parts; only its sum reaches the driver.  The network is fitted on at most ``SAMPLE`` labelled rows, those whose doc_id hashes lowest.
 Scoring is a map without a shuffle.
 """
 
@@ -30,6 +30,7 @@ DIMS = 32
 NONZERO = 4
 REACH = 2
 PARTS = 64
+TASKS = 4096
 SAMPLE = 20_000
 HIDDEN = 32
 THRESHOLD = 0.5
@@ -127,7 +128,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     schema = "part bigint, sums binary"
     out = np.zeros((PARTS, cells))
-    for row in text_input(docs).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
+    # a task sends 4 MB whatever it read, so their number must not grow with the input
+    for row in text_input(docs).coalesce(TASKS).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
         out[row.part] = np.frombuffer(row.sums, np.int64)
     out = out.reshape(BUCKETS, DIMS)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -185,6 +187,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -40, 40)))
 
 
+def gradients(params: list[np.ndarray], a: np.ndarray, t: np.ndarray, decay: float = 1e-4) -> list[np.ndarray]:
+    """Of the mean cross-entropy of a batch plus half of ``decay`` times the squared weights, by w1, b1, w2, b2."""
+    z = np.tanh(a @ params[0] + params[1])
+    g = (1 / (1 + np.exp(-np.clip(z @ params[2] + params[3][0], -40, 40))) - t) / len(a)
+    back = np.outer(g, params[2]) * (1 - z * z)
+    return [a.T @ back + decay * params[0], back.sum(0), z.T @ g + decay * params[2], np.array([g.sum()])]
+
+
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, hidden: int = HIDDEN) -> Network:
     """Two layers by Adam on four fifths of the rows, the temperature on the fifth.  With one class or no rows, a
     network that gives the share of good rows (1 without rows)."""
@@ -205,12 +215,8 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, hidden: int = HIDDEN) ->
         order = rng.permutation(len(xs))
         for k in range(0, len(xs), 256):
             a, t = xs[order[k : k + 256]], ys[order[k : k + 256]]
-            z = np.tanh(a @ params[0] + params[1])
-            g = (1 / (1 + np.exp(-np.clip(z @ params[2] + params[3][0], -40, 40))) - t) / len(a)
-            back = np.outer(g, params[2]) * (1 - z * z)
-            grads = [a.T @ back + 1e-4 * params[0], back.sum(0), z.T @ g + 1e-4 * params[2], np.array([g.sum()])]
             step += 1
-            for i, grad in enumerate(grads):
+            for i, grad in enumerate(gradients(params, a, t)):
                 first[i] = 0.9 * first[i] + 0.1 * grad
                 second[i] = 0.999 * second[i] + 0.001 * grad * grad
                 params[i] = params[i] - 0.01 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -119,3 +121,87 @@ def test_toxic_documents_are_rejected(spark, make_docs):
     kept = {r.doc_id for r in quality.scores(make_docs(rows), known).collect() if r.keep}
     assert np.mean([i in kept for i, _, toxic in labels[800:] if toxic]) < 0.1
     assert np.mean([i in kept for i, _, toxic in labels[800:] if not toxic]) > 0.97
+
+
+def plain_tokens(text):
+    """(token, whether it is all capitals) by a regular expression."""
+    return [(m.group().lower(), len(m.group()) > 1 and m.group().isupper() and m.group().isalpha()) for m in re.finditer(r"[A-Za-z0-9]+|([^A-Za-z0-9\s])\1*", text)]
+
+
+def plain_score(text, vectors, marks, net):
+    """A document's probability by loops over its words."""
+    w = [int(x) for x in Words()([text], quality.MARKS)[0]]
+    if not w:
+        return 0.0
+    v = [[float(c) for c in vectors[x % quality.BUCKETS]] for x in w]
+    mean = [sum(row[k] for row in v) / len(v) for k in range(quality.DIMS)]
+    deviation = [math.sqrt(max(0.0, sum(row[k] ** 2 for row in v) / len(v) - mean[k] ** 2)) for k in range(quality.DIMS)]
+    alike = sum(sum(p * q for p, q in zip(a, b)) for a, b in zip(v, v[1:])) / max(1, len(v) - 1)
+    x = [*mean, *deviation, alike, max(float(marks[k]) for k in w)]
+    x = [(a - m) / s for a, m, s in zip(x, net.mean, net.scale)]
+    hidden = [math.tanh(sum(a * net.w1[i, j] for i, a in enumerate(x)) + net.b1[j]) for j in range(len(net.b1))]
+    return 1 / (1 + math.exp(-(sum(h * c for h, c in zip(hidden, net.w2)) + net.b2) / net.temperature))
+
+
+def test_equal_tokens_have_equal_buckets_and_others_do_not():
+    text = "The CAT's 3 cats, the cat!! ran... A B cat CAT !! ! 3"
+    seen = {}
+    for token, bucket in zip(plain_tokens(text), Words()([text], quality.MARKS)[0].tolist(), strict=True):
+        assert seen.setdefault(token, bucket) == bucket
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_the_whole_operator_against_loops(spark, make_docs):
+    rows, labels = corpus(250, 9, 200)
+    for k in range(0, 250, 4):
+        rows[k], labels[k] = (k, rows[k][1] + " scum idiot"), (k, 1, 1)
+    rows += [(900, ""), (901, None), (902, "one")]
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    docs = make_docs(rows)
+    vectors, marks, net = quality.train(docs, known)
+    got = {r.doc_id: r for r in quality.scores(docs, known).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert math.isclose(got[i].probability, plain_score(t or "", vectors, marks, net), abs_tol=2e-3), i
+        assert got[i].keep == (got[i].probability >= quality.THRESHOLD)
+    # the marks are Wilson bounds of counts over the labelled documents
+    truth = {i: int(toxic) for i, _, toxic in labels}
+    for word in ("scum", "idiot", "w7", "."):
+        (bucket,) = Words()([word], quality.MARKS)[0].tolist()
+        holders = [truth[i] for i, t in rows if i in truth and bucket in Words()([t], quality.MARKS)[0].tolist()]
+        expected = quality.toxic_mark(sum(holders), len(holders) - sum(holders)) if sum(holders) >= quality.LEAST_TOXIC else 0
+        assert math.isclose(marks[bucket], expected, abs_tol=1e-6)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    params = [rng.normal(size=(6, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+    a, t = rng.normal(size=(9, 6)), (rng.random(9) < 0.5).astype(float)
+
+    def loss(p):
+        total = 0.0
+        for row, good in zip(a, t):
+            hidden = [math.tanh(sum(row[i] * p[0][i, j] for i in range(6)) + p[1][j]) for j in range(4)]
+            q = 1 / (1 + math.exp(-(sum(h * c for h, c in zip(hidden, p[2])) + p[3][0])))
+            total -= math.log(q if good else 1 - q)
+        return total / len(a) + 0.05 * (sum(x * x for x in p[0].ravel()) + sum(x * x for x in p[2]))
+
+    for k, grad in enumerate(quality.gradients(params, a, t, decay=0.1)):
+        for at in np.ndindex(grad.shape):
+            up, down = [p.copy() for p in params], [p.copy() for p in params]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert math.isclose(grad[at], (loss(up) - loss(down)) / 2e-5, rel_tol=1e-5, abs_tol=1e-8)
+
+
+def test_the_temperature_is_that_of_least_loss():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 5))
+    y = (rng.random(600) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    net = quality.fit(x, y)
+    held = np.arange(600) % 5 == 4
+    t, logits = y[held], net.logit(x[held])
+    good, bad = t.sum(), len(t) - t.sum()
+    aim = [(good + 1) / (good + 2) if v else 1 / (bad + 2) for v in t]
+    loss = lambda c: sum(math.log1p(math.exp(-abs(z / c))) + max(z / c, 0) - g * z / c for z, g in zip(logits, aim))
+    assert all(loss(net.temperature) <= loss(c) + 1e-9 for c in np.exp(np.linspace(np.log(0.05), np.log(20), 241)))
