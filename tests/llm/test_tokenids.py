@@ -2,9 +2,10 @@ import glob
 import random
 
 import pyarrow.parquet as pq
+import regex
 import tiktoken
 
-from logmill.llm import tokenids
+from logmill.llm import bpe, tokenids
 
 from .conftest import words
 
@@ -39,3 +40,28 @@ def test_layout_and_selective_reads(spark, make_docs, tmp_path):
 
 def test_empty_table(make_docs):
     assert tokenids.token_table(make_docs([])).count() == 0
+
+
+def plain_ids(text, ranks):
+    """Ids by scanning each piece for the leftmost least rank."""
+    out = []
+    for piece in regex.findall(tokenids.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+def test_ids_are_those_of_plain_merging_and_decode_to_the_text(make_docs):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["naïve", "Straße", "日本語", "don't", "12345", "...", "\n\n", "hello", "Überraschungen", "x" * 40, "🙂"]) for _ in range(rng.randrange(30)))) for k in range(60)] + ROWS[:5]
+    ranks, codec = tokenids.load_ranks(), bpe.codec()
+    got = tokenids.token_table(make_docs(rows)).collect()
+    assert sorted(((r.doc_id, r.token_ids) for r in got), key=repr) == sorted(((i, None if t is None else plain_ids(t, ranks)) for i, t in rows), key=repr)
+    assert sorted((codec.decode(r.token_ids) for r in got if r.token_ids is not None)) == sorted(t for _, t in rows if t is not None)
+    decoded = bpe.decode_documents(tokenids.token_table(make_docs(rows)))
+    assert sorted(((r.doc_id, r.text) for r in decoded.collect()), key=repr) == sorted(rows, key=repr)
