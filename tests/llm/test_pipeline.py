@@ -80,3 +80,42 @@ def test_an_empty_corpus(spark, tmp_path):
     for name, kinds in (("documents", KINDS), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
         spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_have_defined_results_in_every_stage(spark, tmp_path):
+    rng = random.Random(15)
+    build(spark, tmp_path)
+    folder = str(tmp_path)
+    long = words(rng, 40_000, 5000)
+    odd = [(None, words(rng, 80)), (None, words(rng, 80)), (5001, None), (5002, ""), (5003, " \n "), (5004, long), (5004, long), (5005, "again " + words(rng, 70)), (5006, words(rng, 9) + " ½ ™ Ünïcode " + words(rng, 60))]
+    odd += [(5007, odd[7][1]), (5008, odd[7][1])]
+    kinds = KINDS + ", spans string, node bigint, at string, probability double, of_doc bigint"
+    docs = spark.createDataFrame([(i, t, "en", None, None, "x", 1, "y", 0.5, 2) for i, t in odd], kinds)
+    stages = dict(corpus_pipeline.STAGES)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+
+    def after(name, given):
+        got = stages[name](spark, given, folder)
+        assert got.columns == columns
+        return sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+
+    kept = after("quality_classifier", docs)
+    assert set(kept) <= set(odd) and not {5001, 5002, 5003} & {i for i, _ in kept}
+    assert sum(i == 5004 for i, _ in kept) in (0, 2) and [i for i, _ in kept].count(None) in (0, 1, 2)
+    # one of the repeated row and of the three copies; what has no id, text or word stays
+    assert after("simhash_near_dedup", docs) == sorted([r for k, r in enumerate(odd) if r[0] not in (5007, 5008) and k != 6], key=repr)
+    # the copies' whole text is a repeated passage; both rows of 5004 are one document
+    assert after("substring_dedup", docs) == sorted([r for r in odd if r[0] not in (5007, 5008)], key=repr)
+    assert after("benchmark_decontamination", docs) == sorted(odd, key=repr)
+    ids = stages["byte_level_bpe"](spark, docs, folder)
+    assert ids.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip"] and ids.count() == len(odd)
+    assert all(r.round_trip is (None if r.doc_id == 5001 else True) for r in ids.collect())
+    for name in stages:
+        assert stages[name](spark, docs.limit(0), folder).count() == 0
+
+
+def test_no_labels_and_no_benchmark(spark, tmp_path):
+    spark.createDataFrame([(1, "some words here", "en", "s", 15), (2, "", "en", "s", 0)], KINDS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.round_trip) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [(1, True)]
