@@ -50,9 +50,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; what a stage keeps is written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
+    docs, before = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = staged(docs, name)
+            docs = before = staged(docs, name, after=before)
     return docs
