@@ -5,20 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmill import schema
 from logmill.operators.scan import PARTITION, log_ends
-from logmill.sources.logview import dense_rank_in
+from logmill.sources.logview import dense_rank_in, fresh
 
 
 def append_offsets(log: DataFrame, arrivals: DataFrame, order: str = "arrival") -> DataFrame:
     """``arrivals`` with their offsets: the end of the log, and one more for each by ``order``.  A partition that the log lacks
     begins at 0."""
-    ranked = dense_rank_in(arrivals, PARTITION, order, "rank")
-    return ranked.join(log_ends(log), [*PARTITION], "left").withColumn("offset", F.coalesce("log_end_offset", F.lit(0)) + F.col("rank")).drop("rank", "log_end_offset")
+    return append_behind(log_ends(log), arrivals, order)
+
+
+def append_behind(ends: DataFrame, arrivals: DataFrame, order: str = "arrival") -> DataFrame:
+    """``append_offsets`` to a log of which the ends (topic, partition, log_end_offset) are known."""
+    rank, end = fresh(arrivals, "rank", "log_end_offset")
+    ends = ends.select(*PARTITION, F.col("log_end_offset").alias(end))
+    ranked = dense_rank_in(arrivals, PARTITION, order, rank)
+    return ranked.join(ends, [*PARTITION], "left").withColumn("offset", F.coalesce(end, F.lit(0)) + F.col(rank)).drop(rank, end)
 
 
 def producer_state(log: DataFrame) -> DataFrame:
@@ -38,7 +46,8 @@ def drop_retries(batches: DataFrame, order: str = "arrival") -> DataFrame:
     """Rows that don't repeat the last one of their producer in the partition: only that one is remembered."""
     by = Window.partitionBy(*PARTITION, "producer_id").orderBy(order)
     again = (F.col("producer_id") >= 0) & F.col("producer_epoch").eqNullSafe(F.lag("producer_epoch").over(by)) & F.col("sequence").eqNullSafe(F.lag("sequence").over(by))
-    return batches.withColumn("again", F.coalesce(again, F.lit(False))).where("not again").drop("again")
+    (mark,) = fresh(batches, "again")
+    return batches.withColumn(mark, F.coalesce(again, F.lit(False))).where(~F.col(mark)).drop(mark)
 
 
 @dataclass
@@ -72,16 +81,54 @@ class ProducerSession:
         return schema.OK, None
 
 
+_SESSION = ["producer_epoch", "first_sequence", "last_sequence", "batch"]
+
+
 def fold_sessions(frames: Iterable[pd.DataFrame], next_producer_id: int) -> Iterator[pd.DataFrame]:
-    """Adds error_code and repeats to batches that come sorted by producer and arrival; a producer may span frames."""
-    key, session = None, ProducerSession()
+    """Adds error_code and repeated to batches that come sorted by producer and arrival; a producer may span frames.
+
+    While each batch of a producer follows or repeats the one before it, whole columns are compared; only from the first that does
+    neither on are its batches offered one by one.
+    """
+    key, before, session = None, None, None  # of the last row: its producer, its numbers, and the session where it has left them
     for frame in frames:
-        said = []
-        for topic, partition, producer, epoch, first, last, batch in frame[["topic", "partition", "producer_id", "producer_epoch", "first_sequence", "last_sequence", "batch"]].itertuples(index=False, name=None):
-            if (topic, partition, producer) != key:
-                key, session = (topic, partition, producer), ProducerSession()
-            said.append(session.offer(producer, next_producer_id, epoch, first, last, batch))
-        yield frame.assign(error_code=[c for c, _ in said], repeated=[r is not None for _, r in said])
+        n = len(frame)
+        if not n:
+            continue
+        keys = frame[["topic", "partition", "producer_id"]]
+        numbers = frame[_SESSION].to_numpy()
+        epoch, first, last, _ = numbers.T
+        new = (keys != keys.shift()).any(axis=1).to_numpy()
+        new[0] = tuple(keys.iloc[0]) != key
+        held = np.empty_like(numbers)
+        held[1:] = numbers[:-1]
+        held[0] = numbers[0] if before is None else before
+        known = ~new & (epoch == held[:, 0])
+        again = known & (first == held[:, 1]) & (last == held[:, 2])
+        breaks = ~new & ~again & ~(known & (first == held[:, 2] + 1))
+        error, producers = np.zeros(n, np.int64), keys["producer_id"].to_numpy()
+        error[producers >= next_producer_id] = schema.UNKNOWN_PRODUCER
+        again[producers >= next_producer_id] = False
+        starts = np.flatnonzero(new | (np.arange(n) == 0))
+        ends = np.append(starts[1:], n)
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(breaks), "right") - 1)
+        if not new[0] and session is not None and (not len(odd) or odd[0]):
+            odd = np.concatenate(([0], odd))
+        kept = None
+        for s in odd.tolist():
+            a, b = int(starts[s]), int(ends[s])
+            if a or new[0] or session is None:
+                a += int(np.argmax(breaks[a:b]))
+                kept = ProducerSession(*held[a])
+            else:
+                kept = session
+            for i in range(a, b):
+                code, repeats = kept.offer(producers[i], next_producer_id, *numbers[i])
+                error[i], again[i] = code, repeats is not None
+            if b < n:
+                kept = None
+        key, before, session = tuple(keys.iloc[-1]), numbers[-1], kept
+        yield frame.assign(error_code=error, repeated=again)
 
 
 def produce_outcomes(batches: DataFrame, next_producer_id: int, leaders: DataFrame | None = None, broker: int = 1) -> DataFrame:

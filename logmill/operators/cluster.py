@@ -5,34 +5,45 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logmill.operators.folds import fold_sorted
 from logmill.operators.scan import PARTITION
+from logmill.sources.logview import dense_rank_in, lag_in
 
 TOLERANCE = 1  # records that an in-sync replica may lack
 
 
-def high_watermark(isr: DataFrame, progress: DataFrame, previous: DataFrame) -> DataFrame:
+def latest_progress(progress: DataFrame, order: str | None = None) -> DataFrame:
+    """(topic, partition, broker_id, log_end_offset): of a broker's repeated reports the last by ``order``; without one, the
+    greatest end."""
+    end = F.max("log_end_offset") if order is None else F.max_by("log_end_offset", order)
+    return progress.groupBy(*PARTITION, "broker_id").agg(end.alias("log_end_offset"))
+
+
+def high_watermark(isr: DataFrame, progress: DataFrame, previous: DataFrame, order: str | None = None) -> DataFrame:
     """The least end among the in-sync replicas (topic, partition, broker_id) that have reported; without one the
-    ``previous`` watermark stays."""
+    ``previous`` watermark stays.  Repeated reports: see ``latest_progress``."""
+    progress = latest_progress(progress, order)
     least = isr.join(progress, [*PARTITION, "broker_id"]).groupBy(*PARTITION).agg(F.min("log_end_offset").alias("least"))
     return previous.join(least, [*PARTITION], "left").select(*PARTITION, F.coalesce("least", "high_watermark").alias("high_watermark"))
 
 
-def isr_reconcile(partitions: DataFrame, progress: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def isr_reconcile(partitions: DataFrame, progress: DataFrame, tolerance: int = TOLERANCE, order: str | None = None) -> DataFrame:
     """(topic, partition, isr) of ``partitions`` (topic, partition, leader_id, replicas): the leader, and the replicas that lack
-    at most ``tolerance`` of its records, in the order of ``replicas``.  While the leader hasn't reported, the leader alone."""
-    ends = progress.groupBy(*PARTITION).agg(F.map_from_entries(F.collect_list(F.struct("broker_id", "log_end_offset"))).alias("ends"))
+    at most ``tolerance`` of its records, in the order of ``replicas``.  While the leader hasn't reported, the leader alone.  Repeated
+    reports: see ``latest_progress``."""
+    ends = latest_progress(progress, order).groupBy(*PARTITION).agg(F.map_from_entries(F.collect_list(F.struct("broker_id", "log_end_offset"))).alias("ends"))
     j = partitions.join(ends, [*PARTITION], "left").withColumn("leader_end", F.try_element_at("ends", "leader_id"))
     near = F.filter("replicas", lambda r: (r == F.col("leader_id")) | (F.col("leader_end") - F.try_element_at(F.col("ends"), r) <= tolerance))
     return j.select(*PARTITION, F.when(F.col("leader_end").isNull(), F.array("leader_id")).otherwise(near).alias("isr"))
 
 
-def caught_up(targets: DataFrame, progress: DataFrame, marks: DataFrame) -> DataFrame:
-    """(topic, partition, caught_up): whether every target (topic, partition, broker_id) has reported an end at the watermark."""
-    j = targets.join(progress, [*PARTITION, "broker_id"], "left").join(marks, [*PARTITION])
+def caught_up(targets: DataFrame, progress: DataFrame, marks: DataFrame, order: str | None = None) -> DataFrame:
+    """(topic, partition, caught_up): whether every target (topic, partition, broker_id) has reported an end at the watermark.
+    Repeated reports: see ``latest_progress``."""
+    j = targets.join(latest_progress(progress, order), [*PARTITION, "broker_id"], "left").join(marks, [*PARTITION])
     return j.groupBy(*PARTITION).agg(F.bool_and(F.coalesce(F.col("log_end_offset") >= F.col("high_watermark"), F.lit(False))).alias("caught_up"))
 
 
@@ -48,7 +59,7 @@ def isr_shrink(isr: Column, targets: Column) -> Column:
 
 def partition_state(requested: DataFrame, partitions: DataFrame, progress: DataFrame) -> DataFrame:
     """Leader, epoch, watermark and the leader's end (0 before it reports) of each request; -1 where it is unknown."""
-    ends = progress.select(*PARTITION, F.col("broker_id").alias("leader_id"), "log_end_offset")
+    ends = latest_progress(progress).select(*PARTITION, F.col("broker_id").alias("leader_id"), "log_end_offset")
     j = requested.join(partitions.join(ends, [*PARTITION, "leader_id"], "left").withColumn("found", F.lit(True)), [*PARTITION], "left")
     known = F.col("found").isNotNull()
     get = lambda c: F.when(known, F.col(c)).otherwise(-1).cast("bigint").alias(c)
@@ -140,8 +151,10 @@ class PartitionImage:
         if step == "ExpandingIsr":
             if not self._reached(t):
                 return False
-            self.replicas += [b for b in t if b not in self.replicas]
-            self.isr += [b for b in t if b not in self.isr]
+            for known in (self.replicas, self.isr):
+                for b in t:  # targets may repeat
+                    if b not in known:
+                        known.append(b)
         elif step == "LeaderSwitch":
             if t[0] not in self.isr or not self._reached(t[:1]):
                 return False
@@ -198,34 +211,51 @@ class Image:
         raise ValueError(f"no such metadata record: {kind}")
 
 
-FOLDED = "topic_name string, partition_index int, seq bigint, kind string, changed boolean, leader_id bigint, leader_epoch bigint, high_watermark bigint, replicas string, isr string, step string"
-_FOLDED_COLUMNS = [c.split()[0] for c in FOLDED.split(", ")]
+FOLDED = (
+    "seq bigint, metadata_offset bigint, kind string, topic_name string, partition_index int, changed boolean, leader_id bigint, leader_epoch bigint, "
+    "high_watermark bigint, replicas string, isr string, step string"
+)
+_OF_PARTITION = ("UpsertPartition", "UpdatePartitionLeader", "UpdatePartitionReplication", "UpdateReplicaProgress", "BeginPartitionReassignment", "AdvancePartitionReassignment", "CompletePartitionReassignment")
+_ABSENT = PartitionImage(-1, -1, -1)
 
 
-def _clean(row: dict) -> dict:
-    out = {}
-    for k, v in row.items():
-        if k in ("replicas", "isr", "target_replicas"):
-            out[k] = [] if v is None else [int(x) for x in v]
-        elif isinstance(v, str) or v is None:
-            out[k] = v
-        else:
-            out[k] = 0 if pd.isna(v) else int(v)
-    return out
+def _clean(e: dict) -> dict:
+    """0 for missing numbers, no members for missing lists."""
+    for k in ("leader_id", "leader_epoch", "broker_id", "log_end_offset", "last_caught_up_ms", "controller_id", "port"):
+        e[k] = e[k] or 0
+    for k in ("replicas", "isr", "target_replicas"):
+        e[k] = e[k] or []
+    return e
 
 
 def fold_metadata(events: DataFrame) -> DataFrame:
-    """What each partition event does, folded per partition in the order of ``seq`` (the records' global order is ``seq`` itself)."""
+    """What each record of a metadata log does, in the order of ``seq``: ``metadata_offset`` counts all records from 0, those without
+    effect too, and ``changed`` tells whether it had one.  Records of a partition show the partition behind them.
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        image, out = Image(), []
-        for e in map(_clean, frame.sort_values("seq").to_dict("records")):
-            changed = image.apply(e)
-            p = image.partitions.get((e["topic_name"], e["partition_index"]), PartitionImage(-1, -1, -1))
-            out.append((e["topic_name"], e["partition_index"], e["seq"], e["kind"], changed, p.leader_id, p.leader_epoch, p.high_watermark, ",".join(map(str, p.replicas)), ",".join(map(str, p.isr)), p.step))
-        return pd.DataFrame(out, columns=_FOLDED_COLUMNS)
-
-    return events.where("topic_name is not null").groupBy("topic_name", "partition_index").applyInPandas(each, FOLDED)
+    A partition's records are folded by themselves, as no other record bears on them.  A controller or a broker record
+    changes something where it differs from the one before it, of the same broker.
+    """
+    events = dense_rank_in(events, (), "seq", "metadata_offset")
+
+    def step(image: Image, e: dict) -> dict:
+        changed = image.apply(_clean(e))
+        p = image.partitions.get((e["topic_name"], e["partition_index"]), _ABSENT)
+        own = {c: e[c] for c in ("seq", "metadata_offset", "kind", "topic_name", "partition_index")}
+        return own | {
+            "changed": changed, "leader_id": p.leader_id, "leader_epoch": p.leader_epoch, "high_watermark": p.high_watermark,
+            "replicas": ",".join(map(str, p.replicas)), "isr": ",".join(map(str, p.isr)), "step": p.step,
+        }
+
+    of_partition = F.col("kind").isin(*_OF_PARTITION)
+    folded = fold_sorted(events.where(of_partition), ("topic_name", "partition_index"), "seq", Image, step, FOLDED)
+    none = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in FOLDED.split(", ")[6:])]
+    whole = ("seq", "metadata_offset", "kind", F.lit(None).cast("string").alias("topic_name"), F.lit(None).cast("int").alias("partition_index"))
+    controllers = lag_in(events.where("kind = 'SetController'"), (), "seq", "controller_id", "before")
+    controllers = controllers.select(*whole, (F.col("controller_id") != F.coalesce("before", F.lit(0))).alias("changed"), *none)
+    by_broker = Window.partitionBy("broker_id").orderBy("seq")
+    address = F.struct("host", "port")
+    brokers = events.where("kind = 'RegisterBroker'").select(*whole, (~F.lag(address).over(by_broker).eqNullSafe(address)).alias("changed"), *none)
+    return folded.unionByName(controllers).unionByName(brokers)
 
 
 @dataclass
@@ -267,6 +297,15 @@ def may_write(voters: Iterable[int], me: int, leader: int | None, roles: Iterabl
     return not list(voters) or ("controller" in roles and leader == me)
 
 
+def may_auto_create(voters: Iterable[int], me: int, leader: int | None, roles: Iterable[str]) -> bool:
+    """Whether a broker may create the topics that it is asked for: as ``may_write``, but the controller among at most one voter
+    needn't lead yet."""
+    voters = list(voters)
+    if "controller" not in roles:
+        return not voters
+    return len(voters) <= 1 or leader == me
+
+
 def find_coordinator(keys: DataFrame, node_id: int, host: str, port: int) -> DataFrame:
     """A row for each of the ``keys`` asked for: there is one broker, and it coordinates every group."""
     return keys.select(F.explode("keys").alias("key")).select("key", F.lit(0).cast("bigint").alias("error_code"), F.lit(node_id).cast("bigint").alias("node_id"), F.lit(host).alias("host"), F.lit(port).cast("bigint").alias("port"))
@@ -277,14 +316,23 @@ def compare_and_append(requests: DataFrame, voters: Iterable[int]) -> DataFrame:
     records), in the order of ``seq`` within each log."""
     voters = frozenset(voters)
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        q, out = Quorum(voters), []
-        for r in frame.sort_values("seq").itertuples(index=False):
-            said = q.append(int(r.term), int(r.leader_id), int(r.previous_offset), int(r.records))
-            out.append((r.log_id, r.seq, said, q.term, q.offset))
-        return pd.DataFrame(out, columns=["log_id", "seq", "accepted", "term", "last_metadata_offset"])
+    def step(q: Quorum, r: dict) -> dict:
+        said = q.append(r["term"], r["leader_id"], r["previous_offset"], r["records"])
+        return {"log_id": r["log_id"], "seq": r["seq"], "accepted": said, "term": q.term, "last_metadata_offset": q.offset}
+
+    return fold_sorted(requests, ("log_id",), "seq", lambda: Quorum(voters), step, "log_id bigint, seq bigint, accepted boolean, term bigint, last_metadata_offset bigint")
+
+
+def vote_outcomes(requests: DataFrame, voters: Iterable[int]) -> DataFrame:
+    """(voter_id, seq, granted, term, voted_for) of vote requests (voter_id, seq, term, candidate_id, last_metadata_offset) in the
+    order of ``seq`` at each voter, whose own log is empty."""
+    voters = frozenset(voters)
+
+    def step(q: Quorum, r: dict) -> dict:
+        said = q.vote(r["term"], r["candidate_id"], r["last_metadata_offset"])
+        return {"voter_id": r["voter_id"], "seq": r["seq"], "granted": said, "term": q.term, "voted_for": q.voted_for}
 
-    return requests.groupBy("log_id").applyInPandas(each, "log_id bigint, seq bigint, accepted boolean, term bigint, last_metadata_offset bigint")
+    return fold_sorted(requests, ("voter_id",), "seq", lambda: Quorum(voters), step, "voter_id bigint, seq bigint, granted boolean, term bigint, voted_for bigint")
 
 
 def replica_sync(leader: DataFrame, follower_ends: DataFrame, limit: int = 1000) -> DataFrame:

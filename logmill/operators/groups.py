@@ -7,15 +7,28 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmill import schema
+from logmill.operators.folds import fold_sorted
 from logmill.operators.scan import PARTITION, log_ends
 
 GROUP_KEY = ("group_id", *PARTITION)
 
 
+def parse_key(text: Column) -> Column:
+    """(group_id, topic, partition) of a stored key "group:topic:partition".  It is cut at its first two colons; a partition that is
+    missing or no number is 0, a missing topic empty."""
+    part = lambda i: F.regexp_extract(text, r"(?s)^([^:]*)(?::([^:]*))?(?::(.*))?$", i)
+    number = F.when(part(3).rlike(r"^[+-]?[0-9]+$"), part(3).try_cast("int"))
+    return F.struct(part(1).alias("group_id"), part(2).alias("topic"), F.coalesce(number, F.lit(0)).alias("partition"))
+
+
+def render_key(group_id: Column, topic: Column, partition: Column) -> Column:
+    return F.concat_ws(":", group_id, topic, partition.cast("string"))
+
+
 def committed_offsets(commits: DataFrame, order: str = "commit_seq") -> DataFrame:
     """The last commit of each (group, topic, partition); it may be less than an earlier one."""
     return commits.groupBy(*GROUP_KEY).agg(F.max_by("next_offset", order).alias("next_offset"))
@@ -204,19 +217,23 @@ def fold(group: Group, events: Iterable[dict], partitions: dict[str, list[int]])
     return [{"group_id": e["group_id"], "seq": e["seq"], "op": e["op"]} | group.step(e, partitions) for e in events]
 
 
+_NUMBERS = ("generation_id", "session_timeout_ms", "rebalance_timeout_ms", "now_ms")
+
+
 def event_rows(frame: pd.DataFrame) -> list[dict]:
     """Events of a frame by ``seq``, with 0 for missing numbers."""
     rows = frame.sort_values("seq").to_dict("records")
     for r in rows:
-        for k in ("generation_id", "session_timeout_ms", "rebalance_timeout_ms", "now_ms"):
+        for k in _NUMBERS:
             r[k] = 0 if pd.isna(r[k]) else int(r[k])
     return rows
 
 
 def fold_groups(events: DataFrame, partitions: dict[str, list[int]]) -> DataFrame:
-    """The outcome of each group event, in the order of ``seq`` within its group."""
+    """The outcome of each group event, in the order of ``seq`` within its group; missing numbers count as 0."""
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(Group(), event_rows(frame), partitions), columns=_OUTCOME_COLUMNS)
+    def step(group: Group, e: dict) -> dict:
+        e |= {k: e[k] or 0 for k in _NUMBERS}
+        return {"group_id": e["group_id"], "seq": e["seq"], "op": e["op"]} | group.step(e, partitions)
 
-    return events.groupBy("group_id").applyInPandas(each, OUTCOME)
+    return fold_sorted(events, ("group_id",), "seq", Group, step, OUTCOME)

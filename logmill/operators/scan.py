@@ -8,15 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmill.sources.logview import BATCH
+from logmill.sources.logview import BATCH, fresh, lag_in
 
 PARTITION = ("topic", "partition")
 
 
-def by_partition() -> Window:
-    return Window.partitionBy(*PARTITION).orderBy("offset")
-
-
 def fetch_range(log: DataFrame, topic: str, partition: int, start: int, limit: int) -> DataFrame:
     """The first ``limit`` records of a partition from ``start`` on, by offset; none for a limit of 0."""
     return log.where((F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("offset") >= start)).orderBy("offset").limit(max(0, limit))
@@ -35,7 +31,8 @@ def fetch_with_high_watermark(log: DataFrame, topic: str, partition: int, start:
 def fetch_multi(log: DataFrame, requests: DataFrame, limit: int = 1000) -> DataFrame:
     """For each request (topic, partition, fetch_offset) the first ``limit`` records from fetch_offset on; past the end: none."""
     hits = log.join(requests, [*PARTITION]).where("offset >= fetch_offset")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*PARTITION, "fetch_offset").orderBy("offset"))).where(F.col("rank") <= limit).drop("rank")
+    (rank,) = fresh(hits, "rank")
+    return hits.withColumn(rank, F.row_number().over(Window.partitionBy(*PARTITION, "fetch_offset").orderBy("offset"))).where(F.col(rank) <= limit).drop(rank)
 
 
 def with_batches(log: DataFrame, size: int = BATCH) -> DataFrame:
@@ -119,12 +116,36 @@ def topic_metadata(log: DataFrame, topics: Sequence[str] | None = None) -> DataF
     return found if topics is None else found.where(F.col("topic").isin(list(topics)))
 
 
-def metadata_lookup(requested: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each requested topic with its number of partitions; error 3 and none where it is unknown."""
+def metadata_lookup(requested: DataFrame, catalog: DataFrame, create_partitions: int | None = None) -> DataFrame:
+    """Each requested topic with its number of partitions; error 3 and none where it is unknown.  With ``create_partitions``, for a
+    request that allows it at a broker that may (``cluster.may_auto_create``), unknown topics are made with so many."""
+    if create_partitions is not None:
+        catalog = with_topics(catalog, requested.select("topic"), create_partitions)
     known = catalog.groupBy("topic").agg(F.count("*").alias("partitions"))
     return requested.join(known, "topic", "left").select("topic", F.when(F.col("partitions").isNull(), 3).otherwise(0).cast("bigint").alias("error_code"), F.coalesce("partitions", F.lit(0)).alias("partitions"))
 
 
+def with_topics(catalog: DataFrame, topics: DataFrame, partitions: int) -> DataFrame:
+    """The catalog (topic, partition) and, of each of ``topics`` (topic) that it lacks, partitions 0 up to ``partitions``."""
+    new = topics.where("topic is not null").distinct().join(catalog.select("topic"), "topic", "left_anti")
+    made = new.select("topic", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("partition")) if partitions > 0 else new.withColumn("partition", F.lit(0)).limit(0)
+    return catalog.select(*PARTITION).distinct().unionByName(made)
+
+
+def auto_created(catalog: DataFrame, requests: DataFrame, partitions: int) -> DataFrame:
+    """The catalog after produce requests (topic, partition): an unknown topic is made, with ``partitions`` partitions, if some
+    request asks for one of these; a partition that a known topic lacks isn't added."""
+    asked = requests.where((F.col("partition") >= 0) & (F.col("partition") < partitions))
+    return with_topics(catalog, asked.select("topic"), partitions)
+
+
+def encode_records(rows: DataFrame) -> DataFrame:
+    """Fetched records as a consumer gets them: without producer, and no offset below the record's place in the answer.  ``rows`` are
+    one fetch of each partition, so the window is as small as its limit."""
+    place = F.row_number().over(Window.partitionBy(*PARTITION).orderBy("offset")) - 1
+    return rows.select(*PARTITION, F.greatest("offset", place.cast("bigint")).alias("offset"), "timestamp_ms", F.lit(-1).alias("producer_id"), F.lit(-1).alias("producer_epoch"), "key", "value")
+
+
 def topic_summary(log: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return log_ends(log).select(*PARTITION, F.col("log_end_offset").alias("next_offset"), zero.alias("log_start_offset"), zero.alias("active_segment_base_offset"))
@@ -137,8 +158,9 @@ def tail(log: DataFrame, count: int) -> DataFrame:
 
 def last_k(log: DataFrame, k: int) -> DataFrame:
     """The last ``k`` records of each partition of a log that may have gaps."""
-    rank = F.row_number().over(Window.partitionBy(*PARTITION).orderBy(F.col("offset").desc()))
-    return log.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    (rank,) = fresh(log, "rank")
+    by = Window.partitionBy(*PARTITION).orderBy(F.col("offset").desc())
+    return log.withColumn(rank, F.row_number().over(by)).where(F.col(rank) <= k).drop(rank)
 
 
 def tombstones(log: DataFrame) -> DataFrame:
@@ -148,8 +170,8 @@ def tombstones(log: DataFrame) -> DataFrame:
 
 
 def offset_gaps(log: DataFrame) -> DataFrame:
-    """Records whose offset doesn't follow the one before."""
-    return log.withColumn("previous_offset", F.lag("offset").over(by_partition())).where(F.col("offset") != F.col("previous_offset") + 1)
+    """Records whose offset doesn't follow the one before; compared block by block, so no task sorts a whole partition."""
+    return lag_in(log, PARTITION, "offset", "offset", "previous_offset").where(F.col("offset") != F.col("previous_offset") + 1)
 
 
 def sequence_gaps(log: DataFrame, order: str = "arrival") -> DataFrame:
@@ -160,10 +182,13 @@ def sequence_gaps(log: DataFrame, order: str = "arrival") -> DataFrame:
 
 def valid_prefix(rows: DataFrame, bad: Column) -> DataFrame:
     """The rows of each partition before its first bad one: the least bad offset is an aggregate, not a window."""
-    first = rows.where(bad).groupBy(*PARTITION).agg(F.min("offset").alias("first_bad"))
-    return rows.join(first, [*PARTITION], "left").where(F.col("first_bad").isNull() | (F.col("offset") < F.col("first_bad"))).drop("first_bad")
+    (bound,) = fresh(rows, "first_bad")
+    first = rows.where(bad).groupBy(*PARTITION).agg(F.min("offset").alias(bound))
+    return rows.join(first, [*PARTITION], "left").where(F.col(bound).isNull() | (F.col("offset") < F.col(bound))).drop(bound)
 
 
 def truncate(log: DataFrame, bounds: DataFrame) -> DataFrame:
     """The log below ``next_offset`` of its partition in ``bounds``; partitions without a bound stay whole."""
-    return log.join(bounds, [*PARTITION], "left").where(F.col("next_offset").isNull() | (F.col("offset") < F.col("next_offset"))).drop("next_offset")
+    (bound,) = fresh(log, "next_offset")
+    bounds = bounds.select(*PARTITION, F.col("next_offset").alias(bound))
+    return log.join(bounds, [*PARTITION], "left").where(F.col(bound).isNull() | (F.col("offset") < F.col(bound))).drop(bound)

@@ -95,10 +95,7 @@ SELECT topic, CAST(partition AS BIGINT) AS partition, greatest("offset", CAST(ro
 FROM (SELECT * FROM L WHERE topic = 'purchase' AND partition = 1 AND "offset" >= {START} ORDER BY "offset" LIMIT {LIMIT})
 """)
 def q_fetch_projection(spark, sf):
-    # at most LIMIT records of one partition: the window is as small as the answer
-    rows = scan.fetch_range(events_log(spark, sf), "purchase", 1, START, LIMIT)
-    index = F.row_number().over(Window.partitionBy(*PARTITION).orderBy("offset")) - 1
-    return plain(rows.select(*PARTITION, F.greatest("offset", index.cast("bigint")).alias("offset"), "timestamp_ms", F.lit(-1).alias("producer_id"), F.lit(-1).alias("producer_epoch"), "key", "value"))
+    return plain(scan.encode_records(scan.fetch_range(events_log(spark, sf), "purchase", 1, START, LIMIT)))
 
 
 @query(EVENTS_SQL + """
@@ -342,9 +339,8 @@ def q_round_robin(spark, sf):
 
 def retried(spark, sf) -> DataFrame:
     """Every tenth record is sent again at once."""
-    log = events_log(spark, sf, sequences=True)
-    first = log.withColumn("sent", F.col("arrival") * 2)
-    return first.unionByName(log.where("arrival % 10 = 0").withColumn("sent", F.col("arrival") * 2 + 1))
+    sent = F.col("arrival") * 2
+    return events_log(spark, sf, sequences=True).withColumn("sent", F.explode(F.when(F.col("arrival") % 10 == 0, F.array(sent, sent + 1)).otherwise(F.array(sent))))
 
 
 @query(EVENTS_SQL + """
@@ -356,20 +352,6 @@ def q_dedup_retries(spark, sf):
     return plain(append.drop_retries(retried(spark, sf), "sent"), *PARTITION, "producer_id", "sequence", "sent")
 
 
-def _batches(spark, sf) -> DataFrame:
-    """Produce batches: one record each, with retries, lost batches (every 97th) and a few fenced ones."""
-    rows = lossy(retried(spark, sf))
-    epoch = F.when(F.col("arrival") % 331 == 0, -1).otherwise(0)
-    return rows.select(*PARTITION, F.col("sent").alias("batch"), "producer_id", epoch.alias("producer_epoch"), F.col("sequence").alias("first_sequence"), F.col("sequence").alias("last_sequence"), F.lit(1).cast("bigint").alias("records"))
-
-
-@query()
-def q_produce_outcomes(spark, sf):
-    batches = _batches(spark, sf)
-    leaders = batches.select(*PARTITION).distinct().where("not (topic = 'view' and partition = 0)").withColumn("leader_id", F.when(F.col("topic") == "search", 2).otherwise(1))
-    return plain(append.produce_outcomes(batches, 1 << 40, leaders))
-
-
 @query(EVENTS_SQL + """
 , E AS (SELECT topic, partition, max("offset") + 1 - (10 + partition) AS log_end_offset FROM L GROUP BY topic, partition),
 R AS (SELECT L.*, E.log_end_offset FROM L JOIN E ON L.topic = E.topic AND L.partition = E.partition WHERE "offset" >= E.log_end_offset - 3 + CASE WHEN L.topic = 'click' THEN 5 ELSE 0 END AND NOT (L.topic = 'purchase' AND "offset" = E.log_end_offset + 4)),
@@ -512,35 +494,6 @@ def q_session_expiry(spark, sf):
     return groups.session_expiry(beats, 86_400_000)
 
 
-def group_events(spark, sf) -> DataFrame:
-    """Joins, beats, commits, syncs and leaves of members, one event each from ``events``."""
-    e = _members(spark, sf)
-    op = F.element_at(F.array(*map(F.lit, ("join", "heartbeat", "commit", "sync", "join", "heartbeat", "commit", "join", "leave", "heartbeat"))), (F.col("event_id") % 10 + 1).cast("int"))
-    return e.select(
-        "group_id", F.col("event_id").alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("now_ms"), op.alias("op"), "member_id",
-        (F.col("event_id") % 40).cast("int").alias("generation_id"), F.lit("consumer").alias("protocol_type"), F.lit("range").alias("protocol_name"),
-        F.array(F.lit("click"), F.lit("view")).alias("topics"), F.lit(86_400_000).alias("session_timeout_ms"), F.lit(60_000).alias("rebalance_timeout_ms"), F.lit(None).cast("map<string,binary>").alias("assignments"),
-    )
-
-
-_TOPICS = {"click": [0, 1, 2], "view": [0, 1, 2]}
-
-
-@query()
-def q_group_generations(spark, sf):
-    return groups.fold_groups(group_events(spark, sf), _TOPICS).where("op in ('join', 'leave', 'sync')")
-
-
-@query()
-def q_heartbeat_outcomes(spark, sf):
-    return groups.fold_groups(group_events(spark, sf), _TOPICS).where("op = 'heartbeat'").select("group_id", "seq", "member_id", "generation_id", "error_code")
-
-
-@query()
-def q_commit_outcomes(spark, sf):
-    return groups.fold_groups(group_events(spark, sf), _TOPICS).where("op = 'commit'").select("group_id", "seq", "member_id", "generation_id", "error_code")
-
-
 # --- cluster ---
 
 
@@ -668,41 +621,6 @@ def q_total_of_nodes(spark, sf):
     return stats.total_of_nodes(nodes, "topic", ["bytes", "records"])
 
 
-def metadata_events(spark, sf) -> DataFrame:
-    """A metadata log over six partitions, one record from each event."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    i = F.col("event_id")
-    kind = F.element_at(F.array(*map(F.lit, ("UpdateReplicaProgress", "UpdateReplicaProgress", "UpdatePartitionLeader", "UpdateReplicaProgress", "UpdatePartitionReplication", "BeginPartitionReassignment", "AdvancePartitionReassignment"))), (F.floor(i / 6) % 7 + 1).cast("int"))
-    first = i < 6
-    return e.select(
-        i.alias("seq"), F.when(first, "UpsertPartition").otherwise(kind).alias("kind"), F.lit("t").alias("topic_name"), (i % 6).cast("int").alias("partition_index"),
-        (1 + F.col("user_id") % 3).cast("int").alias("leader_id"), F.when(first, 0).otherwise(F.floor(i / 500)).cast("int").alias("leader_epoch"),
-        F.array(F.lit(1), F.lit(2), F.lit(3)).alias("replicas"), F.array(F.lit(1), F.lit(2)).alias("isr"), (1 + i % 3).cast("int").alias("broker_id"),
-        F.floor(i / 20).cast("bigint").alias("log_end_offset"), i.alias("last_caught_up_ms"), F.array(F.lit(3), F.lit(1)).alias("target_replicas"),
-        F.element_at(F.array(*map(F.lit, cluster.STEPS)), (F.floor(i / 42) % 6 + 1).cast("int")).alias("step"), F.lit(1).alias("controller_id"), F.lit("h").alias("host"), F.lit(1).alias("port"),
-    )
-
-
-@query()
-def q_meta_fold(spark, sf):
-    return plain(cluster.fold_metadata(metadata_events(spark, sf)))
-
-
-@query()
-def q_reassignment(spark, sf):
-    return plain(cluster.fold_metadata(metadata_events(spark, sf)).where("kind like '%Reassignment'"), "partition_index", "seq", "kind", "changed", "leader_id", "leader_epoch", "replicas", "isr", "step")
-
-
-@query()
-def q_meta_cas(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    requests = e.select(
-        (F.col("user_id") % 8).alias("log_id"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 300).cast("bigint").alias("term"), (1 + F.floor(F.col("event_id") / 300) % 3).cast("int").alias("leader_id"),
-        (F.floor(F.col("event_id") / 16) - 1).cast("bigint").alias("previous_offset"), F.lit(1).cast("bigint").alias("records"),
-    )
-    return cluster.compare_and_append(requests, (1, 2, 3))
-
-
 # --- summaries ---
 
 

@@ -16,22 +16,61 @@ BLOCK = 1 << 20
 BATCH = 16
 
 
-def dense_rank_in(df: DataFrame, keys: Sequence[str], order: str, name: str, weight: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """``df`` with a column ``name``: how many rows (or how much ``weight``) of the same ``keys`` come before, by the integer
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _block_of(order: str, block: int | Column) -> Column:
+    number = block if isinstance(block, Column) else F.floor(F.col(order) / F.lit(block))
+    return F.coalesce(number.cast("bigint"), F.lit(-(1 << 62)))
+
+
+def _join_blocks(df: DataFrame, blocks: DataFrame, keys: Sequence[str], at: str, theirs: Sequence[str]) -> DataFrame:
+    """``df`` with the row of ``blocks``, whose keys and block have the names ``theirs``."""
+    match = F.col(at) == F.col(theirs[-1])
+    for k, name in zip(keys, theirs):
+        match &= F.col(k).eqNullSafe(F.col(name))
+    return df.join(blocks, match, "left")
+
+
+def dense_rank_in(df: DataFrame, keys: Sequence[str], order: str, name: str, weight: Column | None = None, block: int | Column = BLOCK) -> DataFrame:
+    """``df`` with a column ``name``: how many rows (or how much ``weight``) of the same ``keys`` come before, by the
     column ``order``, which is unique within the keys (rows of equal order are numbered in any order).  A null order
-    comes first."""
+    comes first.  ``block`` is the width of a block of an integer order, or an expression for its number that grows with it."""
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()]
+    at, load, size, base, *theirs = fresh(df, "block_no", "row_weight", "block_weight", "block_base", *[f"{k}_of_block" for k in keys], "of_block")
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    df = df.withColumn("__block", F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("bigint"), F.lit(-(1 << 62)))).withColumn("__weight", weight)
-    by = [F.col(k) for k in keys]
-    sizes = df.groupBy(*by, "__block").agg(F.sum("__weight").alias("__size"))
-    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__block").alias("__at"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__base"))
-    match = F.col("__block") == F.col("__at")
-    for k in keys:
-        match &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    inside = Window.partitionBy(*by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("__weight").over(inside), F.lit(0)) + F.col("__base")
-    return df.join(bases, match, "left").select(*[c for c in df.columns if not c.startswith("__")], rank.cast("bigint").alias(name))
+    df = df.withColumn(at, _block_of(order, block)).withColumn(load, weight)
+    sizes = df.groupBy(*keys, at).agg(F.sum(load).alias(size))
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*[F.col(k).alias(t) for k, t in zip([*keys, at], theirs)], F.coalesce(F.sum(size).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(*keys, at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum(load).over(inside), F.lit(0)) + F.col(base)
+    return _join_blocks(df, bases, keys, at, theirs).select(*columns, rank.cast("bigint").alias(name))
+
+
+def lag_in(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, block: int | Column = BLOCK) -> DataFrame:
+    """``df`` with a column ``name``: ``value`` of the row before, of the same ``keys``, by ``order``; null for the first.
+
+    As in ``dense_rank_in`` no task sorts more than a block of a key: the first row of a block has the last value of the block
+    before, of which there is a row a block."""
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()]
+    at, last, prior, *theirs = fresh(df, "block_no", "last_value", "block_prior", *[f"{k}_of_block" for k in keys], "of_block")
+    df = df.withColumn(at, _block_of(order, block))
+    # in a struct, so that a null value is told from no row
+    held = F.struct(F.col(value).alias("v"))
+    lasts = df.groupBy(*keys, at).agg(F.max_by(held, order).alias(last))
+    lasts = lasts.select(*[F.col(k).alias(t) for k, t in zip([*keys, at], theirs)], F.lag(last).over(Window.partitionBy(*keys).orderBy(at)).alias(prior))
+    inside = F.lag(held).over(Window.partitionBy(*keys, at).orderBy(order))
+    return _join_blocks(df, lasts, keys, at, theirs).select(*columns, F.coalesce(inside, F.col(prior))["v"].alias(name))
 
 
 def as_log(df: DataFrame, topic: Column, partition: Column, order: Column, timestamp_ms: Column, producer: Column, key: Column, value: Column, *extra: Column, sequences: bool = True) -> DataFrame:

@@ -101,6 +101,48 @@ def test_a_producer_spans_frames():
     assert [r for f in append.fold_sessions(frames, 5) for r in f.repeated] == [False, True, False]
 
 
+def test_frames_of_any_size_are_folded_as_row_by_row():
+    import random
+
+    import pandas as pd
+
+    columns = ["topic", "partition", "producer_id", "producer_epoch", "first_sequence", "last_sequence", "batch"]
+    rng = random.Random(4)
+    for trial in range(200):
+        rows, batch = [], 0
+        for producer in range(rng.randrange(1, 6)):
+            at, epoch = 0, 0
+            for _ in range(rng.randrange(1, 12)):
+                what = rng.random()
+                size = rng.randrange(1, 4)
+                if what < 0.15 and rows:
+                    rows.append((*rows[-1][:6], batch))  # a retry, perhaps of another producer's batch
+                elif what < 0.25:
+                    rows.append(("t", 0, producer, epoch - 1, at, at + size - 1, batch))
+                elif what < 0.35:
+                    rows.append(("t", 0, producer, epoch, at + 2, at + 1 + size, batch))
+                else:
+                    if what > 0.9:
+                        epoch += 1
+                    rows.append(("t", 0, producer, epoch, at, at + size - 1, batch))
+                    at += size
+                batch += 1
+        rows.sort(key=lambda r: (r[2], r[6]))
+        expected, key, session = [], None, None
+        for t, p, producer, epoch, first, last, batch in rows:
+            if (t, p, producer) != key:
+                key, session = (t, p, producer), ProducerSession()
+            code, repeats = session.offer(producer, 4, epoch, first, last, batch)
+            expected.append((code, repeats is not None))
+        frames, k = [], 0
+        while k < len(rows):
+            size = rng.randrange(1, 9)
+            frames.append(pd.DataFrame(rows[k : k + size], columns=columns))
+            k += size
+        got = [(int(c), bool(r)) for f in append.fold_sessions(frames, 4) for c, r in zip(f.error_code, f.repeated)]
+        assert got == expected, trial
+
+
 def test_session_ids():
     s = ProducerSession()
     assert s.offer(0, 1, 0, 5, 5, 1) == (0, None) and s.offer(0, 1, 0, 5, 5, 2) == (0, 1)
