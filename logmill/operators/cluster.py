@@ -335,6 +335,18 @@ def vote_outcomes(requests: DataFrame, voters: Iterable[int]) -> DataFrame:
     return fold_sorted(requests, ("voter_id",), "seq", lambda: Quorum(voters), step, "voter_id bigint, seq bigint, granted boolean, term bigint, voted_for bigint")
 
 
+def follower_progress(own: DataFrame, leader: DataFrame) -> DataFrame:
+    """(topic, partition, broker_id, log_end_offset) that followers report: the lesser of their own end and the leader's."""
+    ends = leader.select(*PARTITION, F.col("log_end_offset").alias("leader_end"))
+    return own.join(ends, [*PARTITION]).select(*PARTITION, "broker_id", F.least("leader_end", "log_end_offset").alias("log_end_offset"))
+
+
+def authority(voters: Column, me: Column, leader: Column, roles: Column) -> tuple[Column, Column]:
+    """``may_write`` and ``may_auto_create`` as expressions; voters and roles are arrays, the leader null where none is known."""
+    controls, leads = F.array_contains(roles, "controller"), F.coalesce(leader == me, F.lit(False))
+    return (F.size(voters) == 0) | (controls & leads), F.when(controls, (F.size(voters) <= 1) | leads).otherwise(F.size(voters) == 0)
+
+
 def replica_sync(leader: DataFrame, follower_ends: DataFrame, limit: int = 1000) -> DataFrame:
     """(topic, partition, rounds, copied, log_end_offset): rounds of at most ``limit`` records until a follower has its leader's log.
 

@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 
 from logmill.sources.logview import dense_rank_in
 
+BLOCKS = 64
+
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """(keys..., share, value): the element at ``round((n-1) * share)`` of the sorted values; nulls don't count.
 
-    Equal values are counted first, so what is ranked is one row a distinct value.
+    Equal values are counted first, so what is ranked is one row a distinct value.  A key's values are cut into ``BLOCKS`` blocks at
+    approximate quantiles, whatever their scale; how good these are bears on the size of the blocks, not on the result.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranked = dense_rank_in(counts, keys, value, "before", F.col("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    # total and cuts are a row a key
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.percentile_approx("value", [k / BLOCKS for k in range(1, BLOCKS)], 20 * BLOCKS).alias("cuts"))
+    block = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    ranked = dense_rank_in(counts.join(totals.select(*keys, "cuts"), [*keys]), keys, "value", "before", F.col("n"), block)
+    totals = totals.drop("cuts")
     wanted = totals.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("at", F.round((F.col("total") - 1) * F.col("share")).cast("bigint"))
     hit = ranked.join(wanted, [*keys]).where((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("n")))
-    return hit.select(*keys, "share", F.col(value).alias("value"))
+    return hit.select(*keys, "share", "value")
 
 
 def throughput(df: DataFrame, keys: Sequence[str], time_ms: str) -> DataFrame:

@@ -1,56 +1,162 @@
 """Segment files as a Spark source: ``spark.read.format("log_segments").load(root)`` and the same as a stream.
 
-Below ``root`` stands ``topics/<topic>/partitions/<n>/*.log``.  Each partition is one input split; equalities on topic and
-partition choose the splits and a lower bound of the offset is looked up in the sparse index, so earlier batches aren't
-read.  A torn tail is left out.  As a stream the position is the next offset of each partition.
+Below ``root``, on any file system that Arrow knows, stands ``topics/<topic>/partitions/<n>/*.log``.  A partition's file is read in splits of
+``SPLIT_BYTES`` that begin where its sparse index has an entry; equalities on topic and partition choose the files, and a lower
+bound of the offset is looked up in the index, so earlier batches aren't read.  Both are found by binary search in the index
+file.  A torn tail is left out; damage before it is for recovery to cut.  As a stream the position is the next offset of each
+partition; the driver learns only the ends, executors read the records.
 """
 
 from __future__ import annotations
 
-import glob
 import json
-import mmap
 import os
+import struct
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, SimpleDataSourceStreamReader
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from logmill.functions import codec
 
 SCHEMA = "topic string, partition int, offset bigint, timestamp_ms bigint, producer_id bigint, producer_epoch int, sequence int, key binary, value binary, headers string"
+ARROW = pa.schema([
+    ("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64()), ("timestamp_ms", pa.int64()), ("producer_id", pa.int64()), ("producer_epoch", pa.int32()), ("sequence", pa.int32()),
+    ("key", pa.binary()), ("value", pa.binary()), ("headers", pa.string()),
+])
 SEGMENT = "00000000000000000000"
+SPLIT_BYTES = 64 << 20
+ROWS = 4096
+_ENTRY = struct.Struct("<qq")
+
+
+class Ranged:
+    """Bytes of a file, fetched a stretch at a time."""
+
+    def __init__(self, file: pa.NativeFile, size: int, stretch: int = 1 << 20) -> None:
+        self.file, self.size, self.stretch, self.at, self.data = file, size, stretch, 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, s: slice) -> bytes:
+        a, b, _ = s.indices(self.size)
+        if a < self.at or b > self.at + len(self.data):
+            self.at, self.data = a, self.file.read_at(max(b - a, min(self.stretch, self.size - a)), a)
+        return self.data[a - self.at : b - self.at]
 
 
 class Split(InputPartition):
-    def __init__(self, topic: str, partition: int, folder: str, start: int) -> None:
-        super().__init__((topic, partition))
-        self.topic, self.partition, self.folder, self.start = topic, partition, folder, start
+    def __init__(self, topic: str, partition: int, path: str, begin: int, stop: int, start: int, end: int | None = None) -> None:
+        super().__init__((topic, partition, begin))
+        self.topic, self.partition, self.path, self.begin, self.stop, self.start, self.end = topic, partition, path, begin, stop, start, end
+
+
+def storage(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or an address, and the path there."""
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else os.path.abspath(root))
 
 
 def folders(root: str) -> list[tuple[str, int, str]]:
     """(topic, partition, folder), sorted; folders whose name is no number aren't partitions."""
+    files, base = storage(root)
+    inside = lambda path: files.get_file_info(fs.FileSelector(path, allow_not_found=True))
     found = []
-    for path in glob.glob(f"{glob.escape(root)}/topics/*/partitions/*"):
-        if os.path.basename(path).isdigit():
-            found.append((path.split(os.sep)[-3], int(os.path.basename(path)), path))
+    for topic in inside(f"{base}/topics"):
+        for place in inside(f"{topic.path}/partitions"):
+            if place.base_name.isdigit():
+                found.append((topic.base_name, int(place.base_name), place.path))
     return sorted(found)
 
 
-def read_rows(folder: str, topic: str, partition: int, start: int) -> Iterator[tuple]:
-    """The records of a partition from ``start`` on."""
+def _size(files: fs.FileSystem, path: str) -> int:
+    info = files.get_file_info(path)
+    return info.size if info.type == fs.FileType.File else 0
+
+
+class Index:
+    """A sparse index file, searched without being read whole."""
+
+    def __init__(self, files: fs.FileSystem, folder: str) -> None:
+        path = f"{folder}/{SEGMENT}.index"
+        size = _size(files, path)
+        self.entries = size // _ENTRY.size
+        self.data = Ranged(files.open_input_file(path), size, 1 << 16) if self.entries else b""
+
+    def __getitem__(self, k: int) -> tuple[int, int]:
+        return _ENTRY.unpack(self.data[k * _ENTRY.size : (k + 1) * _ENTRY.size])
+
+    def before(self, limit: int, field: int) -> int:
+        """How many entries have a base offset (field 0) or a position (1) of at most ``limit``."""
+        low, high = 0, self.entries
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if self[middle][field] <= limit else (low, middle)
+        return low
+
+    def position(self, start: int) -> int:
+        """Where the last batch with an entry begins that isn't behind offset ``start``."""
+        k = self.before(start, 0)
+        return self[k - 1][1] if k else 0
+
+
+def splits(files: fs.FileSystem, topic: str, partition: int, folder: str, start: int = 0, end: int | None = None, split_bytes: int = SPLIT_BYTES) -> list[Split]:
+    """Stretches of a partition's file with the records from ``start`` up to ``end``."""
     path = f"{folder}/{SEGMENT}.log"
-    if not os.path.exists(path) or not os.path.getsize(path):
+    size = _size(files, path)
+    if not size:
+        return []
+    index = Index(files, folder)
+    cuts = [index.position(start) if start else 0]
+    stop = size
+    if end is not None and (k := index.before(end - 1, 0)) < index.entries:
+        stop = index[k][1]
+    while cuts[-1] + split_bytes < stop:
+        k = index.before(cuts[-1] + split_bytes - 1, 1)
+        if k >= index.entries or not cuts[-1] < index[k][1] < stop:
+            break
+        cuts.append(index[k][1])
+    return [Split(topic, partition, path, a, b, start, end) for a, b in zip(cuts, [*cuts[1:], stop])]
+
+
+def read_split(root: str, split: Split) -> Iterator[pa.RecordBatch]:
+    if not split.path:
         return
-    position = 0
-    if start and os.path.exists(f"{folder}/{SEGMENT}.index"):
-        with open(f"{folder}/{SEGMENT}.index", "rb") as f:
-            position = codec.lookup(codec.decode_index(f.read()), start)
-    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-        for _, records in codec.read_segment(data, start, position):
+    files, _ = storage(root)
+    rows: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+
+    with files.open_input_file(split.path) as f:
+        for _, records in codec.read_segment(Ranged(f, f.size()), split.start, split.begin, split.stop):
             for r in records:
-                if r.offset >= start:
-                    yield topic, partition, r.offset, r.timestamp_ms, r.producer_id, r.producer_epoch, r.sequence, r.key, r.value, r.headers.decode("utf-8", "replace")
+                if r.offset >= split.start and (split.end is None or r.offset < split.end):
+                    rows.append((split.topic, split.partition, r.offset, r.timestamp_ms, r.producer_id, r.producer_epoch, r.sequence, r.key, r.value, r.headers.decode("utf-8", "replace")))
+            if len(rows) >= ROWS:
+                yield batch()
+                rows = []
+    if rows:
+        yield batch()
+
+
+def end_of(files: fs.FileSystem, folder: str) -> int:
+    """The offset behind the last whole batch: what follows the last index entry is read."""
+    path = f"{folder}/{SEGMENT}.log"
+    size = _size(files, path)
+    if not size:
+        return 0
+    index, end = Index(files, folder), 0
+    at = index[index.entries - 1][1] if index.entries else 0
+    with files.open_input_file(path) as f:
+        for _, records in codec.read_segment(Ranged(f, size), 0, at if at < size else 0):
+            end = max(end, records[-1].offset + 1) if records else end
+    return end
 
 
 def write_segment(root: str, topic: str, partition: int, batches: list[list[codec.Record]]) -> None:
@@ -65,9 +171,82 @@ def write_segment(root: str, topic: str, partition: int, batches: list[list[code
             log.write(codec.encode_batch(records))
 
 
+def write_log(log: DataFrame, root: str, batch: int = 16) -> DataFrame:
+    """(topic, partition, records, batches, bytes) of the segments that a log is written to, in batches of aligned offsets.
+
+    A segment is one file in the order of offsets, so a partition is one task's, which streams it and holds one batch.  Files
+    are written aside and then put in place: a task that runs again replaces what it wrote.  Null headers are stored as none.
+    """
+    columns = [F.col(c) for c in ("topic", "partition", "offset", "timestamp_ms", "producer_id", "producer_epoch", "sequence", "key", "value")]
+    headers = F.col("headers").cast("string") if "headers" in log.columns else F.lit("[]")
+    rows = log.select(*columns, F.coalesce(headers, F.lit("[]")).alias("headers")).repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
+    schema = "topic string, partition int, records bigint, batches bigint, bytes bigint"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = storage(root)
+        done: list[dict] = []
+        key, waiting, sinks = None, [], {}
+
+        def flush() -> None:
+            if not waiting:
+                return
+            body = codec.encode_batch(waiting)
+            if codec.indexed(waiting[0].offset):
+                sinks["index"].write(codec.encode_index([(waiting[0].offset, done[-1]["bytes"])]))
+                sinks["timeindex"].write(codec.encode_index([(max(r.timestamp_ms for r in waiting), waiting[0].offset)]))
+            sinks["log"].write(body)
+            for k, v in (("records", len(waiting)), ("batches", 1), ("bytes", len(body))):
+                done[-1][k] += v
+            waiting.clear()
+
+        def close() -> None:
+            flush()
+            for kind, sink in sinks.items():
+                sink.close()
+                path = f"{base}/topics/{key[0]}/partitions/{key[1]}/{SEGMENT}.{kind}"
+                files.move(f"{path}.{tag}", path)
+            sinks.clear()
+
+        tag = f"{os.getpid()}-{os.urandom(8).hex()}"
+        for frame in frames:
+            for r in frame.to_pylist():
+                if (r["topic"], r["partition"]) != key:
+                    close()
+                    key = (r["topic"], r["partition"])
+                    done.append({"topic": key[0], "partition": key[1], "records": 0, "batches": 0, "bytes": 0})
+                    folder = f"{base}/topics/{key[0]}/partitions/{key[1]}"
+                    files.create_dir(folder, recursive=True)
+                    sinks.update({kind: files.open_output_stream(f"{folder}/{SEGMENT}.{kind}.{tag}") for kind in ("log", "index", "timeindex")})
+                if waiting and waiting[-1].offset // batch != r["offset"] // batch:
+                    flush()
+                numbers = [-1 if r[k] is None else r[k] for k in ("producer_id", "producer_epoch", "sequence")]
+                waiting.append(codec.Record(r["offset"], r["timestamp_ms"] or 0, *numbers, r["key"], r["value"], r["headers"].encode()))
+        close()
+        yield pa.RecordBatch.from_pylist(done, schema=arrow)
+
+    return rows.mapInArrow(each, schema)
+
+
+def read_index(spark: SparkSession, root: str, kind: str = "index") -> DataFrame:
+    """(topic, partition, first, second) of the entries of the index files: base offset and position, of the time index greatest
+    timestamp and base offset."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").load(f"{root}/topics").select("path", "content")
+
+    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for path, content in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                *_, topic, _, partition, _ = path.split("/")
+                entries = codec.decode_index(content)
+                columns = [pa.array([topic] * len(entries), pa.string()), pa.array([int(partition)] * len(entries), pa.int32()), *(pa.array([e[k] for e in entries], pa.int64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["topic", "partition", "first", "second"])
+
+    return files.mapInArrow(each, "topic string, partition int, first bigint, second bigint")
+
+
 class SegmentReader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root, self.topic, self.number, self.start = root, None, None, 0
+    def __init__(self, root: str, split_bytes: int = SPLIT_BYTES) -> None:
+        self.root, self.split_bytes, self.topic, self.number, self.start = root, split_bytes, None, None, 0
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -82,35 +261,37 @@ class SegmentReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Split]:
-        return [Split(t, p, path, self.start) for t, p, path in folders(self.root) if self.topic in (None, t) and self.number in (None, p)] or [Split("", -1, "", 0)]
+        files, _ = storage(self.root)
+        chosen = [p for p in folders(self.root) if self.topic in (None, p[0]) and self.number in (None, p[1])]
+        return [s for p in chosen for s in splits(files, *p, self.start, split_bytes=self.split_bytes)] or [Split("", -1, "", 0, 0, 0)]
 
-    def read(self, split: Split) -> Iterator[tuple]:
-        return read_rows(split.folder, split.topic, split.partition, split.start)
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        return read_split(self.root, split)
 
 
-class SegmentStream(SimpleDataSourceStreamReader):
-    def __init__(self, root: str) -> None:
-        self.root = root
+class SegmentStream(DataSourceStreamReader):
+    def __init__(self, root: str, split_bytes: int = SPLIT_BYTES) -> None:
+        self.root, self.split_bytes = root, split_bytes
 
     def initialOffset(self) -> dict:
         return {}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = [], dict(start)
-        for topic, partition, path in folders(self.root):
-            key = json.dumps([topic, partition])
-            for row in read_rows(path, topic, partition, start.get(key, 0)):
-                rows.append(row)
-                end[key] = row[2] + 1
-        return iter(rows), end
+    def latestOffset(self) -> dict:
+        files, _ = storage(self.root)
+        ends = {json.dumps([topic, partition]): end_of(files, folder) for topic, partition, folder in folders(self.root)}
+        return {k: n for k, n in ends.items() if n}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for topic, partition, path in folders(self.root):
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        files, _ = storage(self.root)
+        out = []
+        for topic, partition, folder in folders(self.root):
             key = json.dumps([topic, partition])
-            for row in read_rows(path, topic, partition, start.get(key, 0)):
-                if row[2] >= end.get(key, 0):
-                    break
-                yield row
+            if start.get(key, 0) < end.get(key, 0):
+                out += splits(files, topic, partition, folder, start.get(key, 0), end[key], self.split_bytes)
+        return out
+
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        return read_split(self.root, split)
 
 
 class LogSegments(DataSource):
@@ -122,10 +303,10 @@ class LogSegments(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SegmentReader:
-        return SegmentReader(self.options["path"])
+        return SegmentReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
 
-    def simpleStreamReader(self, schema) -> SegmentStream:
-        return SegmentStream(self.options["path"])
+    def streamReader(self, schema) -> SegmentStream:
+        return SegmentStream(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
 
 
 def register(spark: SparkSession) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,28 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def truncate_stored(spark: SparkSession, path: str, topic: str, partition: int, next_offset: int) -> None:
-    """Cuts one partition to the offsets below ``next_offset``; no other folder is touched."""
+    """Cuts one partition to the offsets below ``next_offset``; no other folder is touched.  One of which nothing is left loses its
+    folder."""
+    path = path.rstrip("/")
     kept = read_log(spark, path).where((F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("offset") < next_offset))
     # written beside and read back, as a table can't be overwritten while it is read
-    beside = f"{path.rstrip('/')}.truncating"
-    kept.write.mode("overwrite").parquet(beside)
-    spark.read.schema(kept.schema).parquet(beside).sortWithinPartitions("offset").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
+    beside = f"{path}.truncating-{uuid.uuid4().hex}"
+    try:
+        kept.write.mode("overwrite").parquet(beside)
+        stays = spark.read.schema(kept.schema).parquet(beside)
+        if stays.isEmpty():
+            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(topic)
+            _delete(spark, f"{path}/topic={name}/partition={partition}")
+        else:
+            stays.sortWithinPartitions("offset").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path)
+    finally:
+        _delete(spark, beside)
 
 
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:

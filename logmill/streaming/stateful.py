@@ -45,7 +45,11 @@ def produce_stream(batches: DataFrame, next_producer_id: int) -> DataFrame:
     """The outcome of each produce batch of a stream (the columns that ``append.produce_outcomes`` takes): its error code and
     the batch that it repeats.  The accepted ones get their offsets where they are appended."""
     batches = batches.where("records > 0").withColumn("producer_id", F.coalesce("producer_id", F.lit(-1)))
-    return batches.groupBy(*PARTITION, "producer_id").transformWithStateInPandas(statefulProcessor=Producers(next_producer_id), outputStructType=PRODUCED, outputMode="Append", timeMode="None")
+    # batches without a producer need no state; under one key they would be a hot one
+    free = batches.where("producer_id < 0").select(*PARTITION, "batch", "producer_id", "records", F.lit(0).cast("int").alias("error_code"), F.lit(None).cast("bigint").alias("repeats"))
+    batches = batches.where("producer_id >= 0")
+    judged = batches.groupBy(*PARTITION, "producer_id").transformWithStateInPandas(statefulProcessor=Producers(next_producer_id), outputStructType=PRODUCED, outputMode="Append", timeMode="None")
+    return judged.unionByName(free)
 
 
 class Groups(StatefulProcessor):

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.operators.append import append_offsets
-from logmill.operators.scan import PARTITION
+from logmill.operators.append import append_behind
+from logmill.operators.scan import PARTITION, log_ends
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a temporary one only where none is configured (tests)."""
+    """A new folder below ``spark.checkpoint.dir``, which the cluster shares; where it is unset, a local session, as in tests, gets one of
+    its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="logmill-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -26,16 +30,21 @@ def append_stream(stream: DataFrame, order: str, table: str, checkpoint: str) ->
     """Appends what ``stream`` (topic, partition, ...) brings to the log at ``table`` until nothing is left, each micro-batch
     behind what is there, by ``order``.
 
-    A micro-batch has a folder of its own, overwritten if it is run again, and reads only those of earlier batches: a restart
-    from the checkpoint neither loses nor repeats records.
+    A micro-batch has a folder of its own, overwritten if it is run again, and behind it the ends of all partitions in a folder beside
+    the table: the next one reads these few rows and none of the log.  A restart from the checkpoint neither loses nor
+    repeats records.
     """
-    spark = stream.sparkSession
+    spark, ends = stream.sparkSession, f"{table.rstrip('/')}.ends"
 
     def write(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        earlier = [f"{table}/batch={k}" for k in range(number) if _exists(s, f"{table}/batch={k}")]
-        log = s.read.parquet(*earlier).select(*PARTITION, "offset") if earlier else s.createDataFrame([], "topic string, partition int, offset bigint")
-        append_offsets(log, batch, order).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        earlier = [k for k in _numbers(s, ends) if k < number]
+        known = s.read.parquet(f"{ends}/batch={max(earlier)}") if earlier else s.createDataFrame([], "topic string, partition int, log_end_offset bigint")
+        place = f"{table}/batch={number}"
+        append_behind(known, batch, order).write.mode("overwrite").parquet(place)
+        written = s.read.schema(f"topic string, partition {dict(batch.dtypes)['partition']}, offset bigint").parquet(place)
+        both = known.unionByName(log_ends(written))
+        both.groupBy(*PARTITION).agg(F.max("log_end_offset").alias("log_end_offset")).coalesce(1).write.mode("overwrite").parquet(f"{ends}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -43,10 +52,15 @@ def append_stream(stream: DataFrame, order: str, table: str, checkpoint: str) ->
         raise query.exception()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The micro-batches of which ``path`` has whole folders."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return [int(n.partition("=")[2]) for n in names if n.startswith("batch=") and files.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
 
 
 def tail_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:

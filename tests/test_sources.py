@@ -29,6 +29,41 @@ def test_batch_read_and_pruning(spark, root):
     assert df.where("topic = 'nowhere'").count() == 0 and df.where("key is null").count() == 10 + 1 + 2
 
 
+def test_splits_begin_at_index_entries_and_cover_every_record_once(spark, tmp_path):
+    root = str(tmp_path)
+    segments.register(spark)
+    segments.write_segment(root, "a", 0, [[Record(8 * b + k, b, value=b"v" * (b % 50)) for k in range(8)] for b in range(200)])
+    segments.write_segment(root, "b", 1, [[Record(k, k)] for k in range(3)])
+    for size in (1, 700, 5_000, 1 << 30):
+        df = spark.read.format("log_segments").option("splitBytes", size).load(root)
+        assert sorted((r.topic, r.offset) for r in df.collect()) == [("a", o) for o in range(1600)] + [("b", o) for o in range(3)]
+        assert sorted(r.offset for r in df.where("topic = 'a' and offset > 1234").collect()) == list(range(1235, 1600))
+    assert spark.read.format("log_segments").option("splitBytes", 700).load(root).rdd.getNumPartitions() > 20
+    files, base = segments.storage(root)
+    folder = f"{base}/topics/a/partitions/0"
+    assert segments.end_of(files, folder) == 1600
+    index = segments.Index(files, folder)
+    assert index.entries == 100 and [index.position(o) for o in (0, 15)] == [0, 0] and index.position(16) == index[1][1] and index.position(10**9) == index[99][1]
+    for start, end in ((0, 10), (17, 18), (500, 901), (1599, 1600)):
+        got = [r for s in segments.splits(files, "a", 0, folder, start, end, 300) for b in segments.read_split(root, s) for r in b.column("offset").to_pylist()]
+        assert got == list(range(start, end))
+
+
+def test_a_log_is_written_as_segments(spark, tmp_path):
+    segments.register(spark)
+    root = str(tmp_path / "root")
+    rows = [("t", p, o, 100 + o, None, 0, o, None if o % 7 == 0 else b"k", b"" if o % 3 else None, None if o % 2 else '[["h",null]]') for p in (0, 1) for o in range(3, 60)]
+    log = spark.createDataFrame(rows, segments.SCHEMA)
+    for _ in range(2):  # writing again replaces
+        done = {(r.topic, r.partition): (r.records, r.batches, r.bytes) for r in segments.write_log(log, root).collect()}
+    assert {k: v[:2] for k, v in done.items()} == {("t", 0): (57, 4), ("t", 1): (57, 4)}
+    got = sorted((r.partition, r.offset, r.timestamp_ms, r.producer_id, r.sequence, None if r.key is None else bytes(r.key), None if r.value is None else bytes(r.value), r.headers) for r in load(spark, root).collect())
+    assert got == sorted((p, o, t, -1, q, k, v, h or "[]") for _, p, o, t, _, _, q, k, v, h in rows)
+    entries = sorted((r.partition, r.first, r.second) for r in segments.read_index(spark, root).collect())
+    assert [(p, o) for p, o, _ in entries] == [(p, o) for p in (0, 1) for o in (16, 32, 48)]
+    assert segments.write_log(log.limit(0), root).count() == 0
+
+
 def test_stream_reads_what_is_new(spark, root, tmp_path):
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
 
@@ -56,6 +91,17 @@ def test_stored_log_is_pruned_and_truncated(spark, tmp_path):
     assert sorted((r.topic, r.partition, r.n) for r in table.read_log(spark, path).groupBy("topic", "partition").count().withColumnRenamed("count", "n").collect()) == [("a", 0, 5), ("a", 1, 10), ("b", 0, 1)]
 
 
+def test_truncating_to_nothing_and_leaving_no_trace(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [("a b/c", 0, o) for o in range(10)] + [("a b/c", 1, 0), ("d", 0, 0)]
+    table.write_log(spark.createDataFrame(rows, "topic string, partition int, offset bigint"), path)
+    table.truncate_stored(spark, path, "a b/c", 0, 0)
+    assert sorted((r.topic, r.partition) for r in table.read_log(spark, path).collect()) == [("a b/c", 1), ("d", 0)]
+    table.truncate_stored(spark, path, "d", 0, 5)
+    table.truncate_stored(spark, path, "nowhere", 7, 0)
+    assert table.read_log(spark, path).count() == 2 and [x.name for x in tmp_path.iterdir()] == ["log"]
+
+
 def test_storage_summary_of_files(spark, root):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/topics").select("path", "length")
     got = stats.storage_summary(files).collect()[0]

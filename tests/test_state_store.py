@@ -1,26 +1,62 @@
 import json
 import os
 
+import pytest
+
 from logmill import cli
 from logmill.functions.codec import Record
-from logmill.operators.cluster import may_write
+from logmill.operators.cluster import may_auto_create, may_write
 from logmill.sources import segments
-from logmill.sources.state_store import MetadataStore, StateJournal
+from logmill.sources.state_store import MetadataStore, StateJournal, with_retry
 
 
 def test_metadata_is_compared_appended_and_recovered(tmp_path):
     root = str(tmp_path)
     s = MetadataStore(root)
+    s.LEAST_LOG = 1
     assert s.append(-1, ["a"]) and not s.append(-1, ["b"]) and s.offset == 0
-    assert s.append_with_retry(["b", "c"]) and MetadataStore(root).records == ["a", "b", "c"]
-    # a crash between the log and the snapshot, and in the middle of a line
-    with open(f"{root}/cluster/metadata.log", "wb") as f:
+    s.append_with_retry(["b", "c"])
+    assert MetadataStore(root).records == ["a", "b", "c"]
+    # a crash between the snapshot and the log's end, and in the middle of a line
+    with open(f"{root}/cluster/metadata.log", "ab") as f:
         f.write(b'{"metadata_offset": 2, "record": "c"}\n{"metadata_offset": 3, "record": "d"}\n{"metadata_offset": 4, "rec')
     again = MetadataStore(root)
-    assert again.records == ["a", "b", "c", "d"] and os.path.getsize(f"{root}/cluster/metadata.log") < 90
+    assert again.records == ["a", "b", "c", "d"] and os.path.getsize(f"{root}/cluster/metadata.log") < 200
     assert again.append(3, ["e"]) and MetadataStore(root).offset == 4
 
 
+def test_a_writer_that_was_overtaken_tries_again(tmp_path):
+    root = str(tmp_path)
+    one, two = MetadataStore(root), MetadataStore(root)
+    assert two.append(-1, ["x"]) and one.offset == -1
+    assert not one.append(-1, ["y"]) and one.offset == 0
+    assert two.append(0, ["z"])
+    one.append_with_retry(["y"])
+    assert MetadataStore(root).records == ["x", "z", "y"] == one.records
+    two.append_with_retry(["w"], attempts=2)
+    with pytest.raises(RuntimeError):
+        assert one.append(3, ["v"])
+        two.append_with_retry(["u"], attempts=1)
+    assert MetadataStore(root).records == ["x", "z", "y", "w", "v"]
+
+
+def test_attempts_are_counted():
+    said = iter([False, False, True])
+    assert with_retry(lambda: next(said)) == 3
+    tried = []
+    with pytest.raises(RuntimeError):
+        with_retry(lambda: bool(tried.append(1)))
+    assert len(tried) == 3
+
+
+def test_snapshots_are_few_and_recovered(tmp_path):
+    s = MetadataStore(str(tmp_path))
+    for k in range(300):
+        assert s.append(k - 1, [k])
+    again = MetadataStore(str(tmp_path))
+    assert again.records == list(range(300)) and again.in_snapshot == 256
+
+
 def test_journal_survives_a_torn_end(tmp_path):
     root = str(tmp_path)
     j = StateJournal(root)
@@ -49,5 +85,10 @@ def test_administration(tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"topics": 1, "log_bytes": whole, "index_bytes": 320, "timeindex_bytes": 320, "journal_bytes": 0, "total_bytes": whole + 640}
 
 
+def test_topics_may_be_created_by_a_single_controller_or_the_leader():
+    assert may_auto_create([], 1, None, []) and may_auto_create([1], 1, None, ["controller"]) and may_auto_create([1, 2], 1, 1, ["controller"])
+    assert not may_auto_create([1, 2], 1, 2, ["controller"]) and not may_auto_create([1], 1, 1, ["broker"])
+
+
 def test_write_authority():
     assert may_write([], 1, None, []) and may_write([1, 2], 1, 1, ["controller"]) and not may_write([1, 2], 1, 2, ["controller"]) and not may_write([1], 1, 1, ["broker"])

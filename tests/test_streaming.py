@@ -30,7 +30,7 @@ def in_files(spark, rows, kinds, tmp_path, parts=3):
 
 
 def test_producers_as_a_stream_agree_with_the_batch_form(spark, rocks, tmp_path):
-    rows = [("t", p, k, k % 3, 0 if k < 20 else k % 2, k // 6 + (k % 11 == 0), k // 6 + (k % 11 == 0), 1) for k, p in enumerate([0, 1] * 15)]
+    rows = [("t", p, k, (None if k == 7 else -1) if k % 13 == 7 else k % 3, 0 if k < 20 else k % 2, k // 6 + (k % 11 == 0), k // 6 + (k % 11 == 0), 1) for k, p in enumerate([0, 1] * 15)]
     got = run(stateful.produce_stream(in_files(spark, rows, BATCH, tmp_path), 2), tmp_path, "out")
     expected = append.produce_outcomes(spark.createDataFrame(rows, BATCH), 2)
     assert sorted((r.batch, r.error_code) for r in got.collect()) == sorted((r.batch, r.error_code) for r in expected.collect())
@@ -61,3 +61,32 @@ def test_appending_resumes_without_loss_or_repeats(spark, tmp_path):
     # the last micro-batch run again gives the same folder
     last = log.agg(F.max("batch")).collect()[0][0]
     assert last == 2
+    ends = spark.read.parquet(f"{tmp_path}/log.ends/batch=2")
+    assert sorted(map(tuple, ends.select("topic", "partition", "log_end_offset").collect())) == [("t", 0, 10), ("t", 1, 10)]
+
+
+class _Elsewhere:
+    """A session on a cluster that names no shared folder."""
+
+    def __init__(self, master):
+        self.conf = self.sparkContext = self
+        self.master = master
+
+    def get(self, *_):
+        return None
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return None
+
+    def setCheckpointDir(self, place):
+        self.place = place
+
+
+def test_only_a_local_session_gets_a_folder_of_its_own():
+    assert tail.work_dir(_Elsewhere("local[2]"))
+    for master in ("local-cluster[3,2,1000]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            tail.work_dir(_Elsewhere(master))
