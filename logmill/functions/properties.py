@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 DEFAULTS = {"node.id": "1", "num.partitions": "1", "log.dirs": "data", "listeners": "PLAINTEXT://127.0.0.1:9092"}
 
 
@@ -66,3 +70,26 @@ def load(text: str) -> Config:
     if set(roles) - {"broker", "controller"}:
         raise ValueError(f"unknown role in {roles}")
     return Config(node_id, partitions, dirs[0], listeners, voters, roles)
+
+
+LOADED = "id bigint, node_id bigint, partitions bigint, log_dir string, listeners string, voters string, roles string, error string"
+
+
+def load_all(files: DataFrame) -> DataFrame:
+    """``load`` of each of ``files`` (id, text), or the error that it gives; listeners and voters as "name=host:port, ..."."""
+    names = [c.split()[0] for c in LOADED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 5]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    c = load(text or "")
+                    told = [", ".join(f"{n}={h}:{p}" for n, (h, p) in x.items()) for x in (c.listeners, c.voters)]
+                    out.append((k, c.node_id, c.partitions, c.log_dir, *told, ",".join(c.roles), None))
+                except ValueError as e:
+                    out.append((k, *[None] * 6, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+    return files.select("id", "text").mapInArrow(each, LOADED)

@@ -337,6 +337,7 @@ def vote_outcomes(requests: DataFrame, voters: Iterable[int]) -> DataFrame:
 
 def follower_progress(own: DataFrame, leader: DataFrame) -> DataFrame:
     """(topic, partition, broker_id, log_end_offset) that followers report: the lesser of their own end and the leader's."""
+    own = own.select(*PARTITION, "broker_id", "log_end_offset")
     ends = leader.select(*PARTITION, F.col("log_end_offset").alias("leader_end"))
     return own.join(ends, [*PARTITION]).select(*PARTITION, "broker_id", F.least("leader_end", "log_end_offset").alias("log_end_offset"))
 

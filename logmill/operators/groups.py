@@ -20,11 +20,18 @@ GROUP_KEY = ("group_id", *PARTITION)
 def parse_key(text: Column) -> Column:
     """(group_id, topic, partition) of a stored key "group:topic:partition".  It is cut at its first two colons; a partition that is
     missing or no number is 0, a missing topic empty."""
-    part = lambda i: F.regexp_extract(text, r"(?s)^([^:]*)(?::([^:]*))?(?::(.*))?$", i)
-    number = F.when(part(3).rlike(r"^[+-]?[0-9]+$"), part(3).try_cast("int"))
+    part = lambda i: F.regexp_extract(text, r"(?s)^([^:]*)(?::([^:]*))?(?::(.*))?\z", i)
+    number = F.when(part(3).rlike(r"^[+-]?[0-9]+\z"), part(3).try_cast("int"))
     return F.struct(part(1).alias("group_id"), part(2).alias("topic"), F.coalesce(number, F.lit(0)).alias("partition"))
 
 
+def parse_producer_key(text: Column) -> Column:
+    """(topic, partition, producer_id) of a stored key "topic:partition:producer"; a topic may have colons.  Null where it is none."""
+    form = r"(?s)^(.*):([0-9]{1,9}):(-?[0-9]{1,18})\z"
+    part = lambda i: F.regexp_extract(text, form, i)
+    return F.when(text.rlike(form), F.struct(part(1).alias("topic"), part(2).cast("int").alias("partition"), part(3).cast("bigint").alias("producer_id")))
+
+
 def render_key(group_id: Column, topic: Column, partition: Column) -> Column:
     return F.concat_ws(":", group_id, topic, partition.cast("string"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.operators import scan
-from logmill.plans import fold_queries  # noqa: F401 - registers its queries
+from logmill.plans import fold_queries, store_queries  # noqa: F401 - they register their queries
 from logmill.plans.log_queries import ORACLES, QUERIES
 from logmill.sources.logview import events_log
 

@@ -91,3 +91,63 @@ def test_merge_adds_missing_partitions_of_known_topics(spark):
 def test_metadata_log_stops_at_the_first_bad_line(spark):
     lines = spark.createDataFrame([(0, '{"metadata_offset": 0, "kind": "a"}'), (1, '{"metadata_offset": 1, "kind": "b"}'), (2, '{"metada'), (3, '{"metadata_offset": 3, "kind": "c"}')], "line_no bigint, text string")
     assert [r.kind for r in cluster.replay_metadata(lines, 0, "metadata_offset bigint, kind string").collect()] == ["b"]
+
+
+def test_repeated_targets_are_added_once():
+    p = image()
+    p.report(1, 4, 9, 1)
+    assert p.begin([2, 2, 4, 2, 4]) and p.advance("ExpandingIsr") and p.replicas == [1, 2, 4] and p.isr == [1, 2, 4]
+
+
+def test_repeated_reports(spark):
+    kinds = "topic string, partition int, broker_id int, log_end_offset bigint, at bigint"
+    progress = spark.createDataFrame([("t", 0, 1, 6, 1), ("t", 0, 2, 6, 1), ("t", 0, 2, 1, 2), ("t", 0, 2, 6, 0)], kinds)
+    one = spark.createDataFrame([("t", 0, 1, [1, 2])], "topic string, partition int, leader_id int, replicas array<int>")
+    assert cluster.isr_reconcile(one, progress, order="at").collect()[0].isr == [1] and cluster.isr_reconcile(one, progress).collect()[0].isr == [1, 2]
+    both = spark.createDataFrame([("t", 0, 1), ("t", 0, 2)], "topic string, partition int, broker_id int")
+    mark = spark.createDataFrame([("t", 0, 3)], "topic string, partition int, high_watermark bigint")
+    assert cluster.high_watermark(both, progress, mark, order="at").collect()[0].high_watermark == 1 and cluster.high_watermark(both, progress, mark).collect()[0].high_watermark == 6
+    assert [cluster.caught_up(both, progress, mark, order=o).collect()[0].caught_up for o in ("at", None)] == [False, True]
+
+
+def test_every_record_of_a_log_has_an_offset(spark):
+    from logmill.schema import META_EVENT
+
+    names = [c.split()[0] for c in META_EVENT.replace(", ", ",").split(",")]
+    record = lambda seq, kind, **more: tuple(({"seq": seq, "kind": kind} | more).get(n) for n in names)
+    rows = [
+        record(5, "SetController", controller_id=2), record(7, "SetController", controller_id=2), record(11, "RegisterBroker", broker_id=1, host="h", port=1), record(12, "RegisterBroker", broker_id=2, host="h", port=1),
+        record(13, "RegisterBroker", broker_id=1, host="h", port=1), record(14, "RegisterBroker", broker_id=1, host="h", port=2), record(20, "UpdatePartitionLeader", topic_name="t", partition_index=0, leader_id=1, leader_epoch=0),
+        record(21, "UpsertPartition", topic_name="t", partition_index=0, leader_id=1, leader_epoch=0, replicas=[1], isr=[1]), record(22, "UpdatePartitionLeader", topic_name="t", partition_index=0, leader_id=3, leader_epoch=1),
+        record(30, "SetController", controller_id=1),
+    ]
+    got = sorted((r.metadata_offset, r.seq, r.changed, r.replicas) for r in cluster.fold_metadata(spark.createDataFrame(rows, META_EVENT)).collect())
+    assert got == [(0, 5, True, None), (1, 7, False, None), (2, 11, True, None), (3, 12, True, None), (4, 13, False, None), (5, 14, True, None), (6, 20, False, ""), (7, 21, True, "1"), (8, 22, True, "3,1"), (9, 30, True, None)]
+    assert cluster.fold_metadata(spark.createDataFrame([], META_EVENT)).count() == 0
+
+
+def test_votes_and_appends_of_many_logs_are_those_of_one_voter_each(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), k, k // 20 + rng.randrange(2), rng.randrange(1, 5), rng.randrange(-2, 3)) for k in range(300)]
+    votes = cluster.vote_outcomes(spark.createDataFrame(rows, "voter_id bigint, seq bigint, term bigint, candidate_id bigint, last_metadata_offset bigint"), (1, 2, 3)).collect()
+    voters = {}
+    expected = {}
+    for v, k, term, candidate, end in rows:
+        q = voters.setdefault(v, Quorum(frozenset((1, 2, 3))))
+        expected[k] = (v, q.vote(term, candidate, end), q.term, q.voted_for)
+    assert {r.seq: (r.voter_id, r.granted, r.term, r.voted_for) for r in votes} == expected
+
+
+def test_topics_are_made_when_asked_for(spark):
+    from logmill.operators import scan
+
+    catalog = spark.createDataFrame([("known", 0)], "topic string, partition int")
+    asked = spark.createDataFrame([("known", 2), ("new", 1), ("new", 9), ("far", 2), ("below", -1), (None, 0)], "topic string, partition int")
+    made = sorted((r.topic, r.partition) for r in scan.auto_created(catalog, asked, 2).collect())
+    assert made == [("known", 0), ("new", 0), ("new", 1)]
+    names = spark.createDataFrame([("known",), ("x",)], "topic string")
+    assert sorted(map(tuple, scan.metadata_lookup(names, catalog, create_partitions=3).collect())) == [("known", 0, 1), ("x", 0, 3)]
+    assert sorted(map(tuple, scan.metadata_lookup(names, catalog).collect())) == [("known", 0, 1), ("x", 3, 0)]
+    assert scan.auto_created(catalog, asked, 0).count() == 1

@@ -1,6 +1,8 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from logmill.operators import groups
 from logmill.operators.groups import Group
 
@@ -26,7 +28,7 @@ def test_generations_follow_changes_only():
 
 
 def test_a_member_without_an_id_gets_one():
-    assert Group().join("group-auto-member", "", "consumer", "range", ("t",), 10, 10, 123) == "group-auto-member-member-123"
+    assert Group().join("readers", "", "consumer", "range", ("t",), 10, 10, 77) == "readers-member-77" == Group().join("readers", None, "consumer", "range", ("t",), 10, 10, 77)
 
 
 def test_expired_members_go_at_the_next_join():
@@ -104,3 +106,36 @@ def test_resume_and_lag(spark):
     committed = spark.createDataFrame([("g", "t", 0, 2)], "group_id string, topic string, partition int, next_offset bigint")
     assert [r.offset for r in groups.consumer_resume(committed, log).collect()] == [2]
     assert [r.lag for r in groups.consumer_lag(committed, log).collect()] == [1]
+
+
+def test_stored_keys(spark):
+    texts = ["g:t:3", "g:t", "g", "", "g:t:x", "g:a:b:3", "g:t:99999999999", "g:t:-2", ":", "g::+4", "g:t:3\n", "ü:é:1"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    got = [tuple(r.k) if r.k else None for r in df.select(groups.parse_key(F.col("text")).alias("k")).collect()]
+    assert got[:-1] == [("g", "t", 3), ("g", "t", 0), ("g", "", 0), ("", "", 0), ("g", "t", 0), ("g", "a", 0), ("g", "t", 0), ("g", "t", -2), ("", "", 0), ("g", "", 4), ("g", "t", 0), ("ü", "é", 1)]
+    assert got[-1] == (None, None, 0)
+    one = spark.createDataFrame([("g", "t", 5)], "g string, t string, p int").select(groups.render_key(F.col("g"), F.col("t"), F.col("p")).alias("k")).collect()
+    assert one[0].k == "g:t:5"
+    keys = spark.createDataFrame([("t:0:7",), ("a:b:12:-1",), ("t:0",), ("t:x:1",), ("t:0:x",), (None,)], "text string")
+    found = [tuple(r.k) if r.k else None for r in keys.select(groups.parse_producer_key(F.col("text")).alias("k")).collect()]
+    assert found == [("t", 0, 7), ("a:b", 12, -1), None, None, None, None]
+
+
+def test_one_group_over_many_arrow_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ops = ["join", "sync", "heartbeat", "commit", "leave"]
+    rows = [(f"g{k % 3 if k % 5 else 0}", k, 10 * k, ops[k % 5], f"m{k % 4}", k // 9, "consumer", "range", ["t"], 200, 60, None) for k in range(400)]
+    kinds = "group_id string, seq bigint, now_ms bigint, op string, member_id string, generation_id int, protocol_type string, protocol_name string, topics array<string>, session_timeout_ms int, rebalance_timeout_ms int, assignments map<string,binary>"
+    events, partitions = spark.createDataFrame(rows, kinds).repartition(5), {"t": [0, 1]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted((r.group_id, r.seq, r.generation_id, r.error_code, r.members, r.assignment) for r in groups.fold_groups(events, partitions).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    names = [c.split()[0] for c in kinds.split(", ")]
+    state, expected = {}, []
+    for r in sorted(rows, key=lambda r: r[1]):
+        e = dict(zip(names, r))
+        out = state.setdefault(e["group_id"], Group()).step(e, partitions)
+        expected.append((e["group_id"], e["seq"], out["generation_id"], out["error_code"], out["members"], out["assignment"]))
+    assert got == sorted(expected)

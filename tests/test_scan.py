@@ -93,3 +93,58 @@ def test_ranks_don_t_depend_on_the_block(spark, rows, block):
 def test_null_keys_are_numbered_too(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 5)], "k string, o bigint")
     assert sorted((r.o, r.n) for r in dense_rank_in(df, ["k"], "o", "n").collect()) == [(1, 0), (2, 1), (5, 0)]
+
+
+def test_columns_of_any_name_stay(spark):
+    from pyspark.sql import functions as F
+
+    from logmill.operators import append
+
+    rows = [("t", 0, o, 1, 0, o, "r", "a", "f", "b", "n") for o in (0, 1, 3)]
+    names = "topic string, partition int, offset bigint, producer_id bigint, producer_epoch int, sequence bigint, rank string, again string, first_bad string, __block string, block_no string"
+    log = spark.createDataFrame(rows, names).withColumn("arrival", F.col("offset"))
+    requests = spark.createDataFrame([("t", 0, 1)], "topic string, partition int, fetch_offset bigint")
+    bounds = spark.createDataFrame([("t", 0, 3)], "topic string, partition int, next_offset bigint")
+    found = [
+        scan.fetch_multi(log, requests), scan.last_k(log, 2), scan.valid_prefix(log, F.col("offset") == 3), scan.truncate(log.withColumn("next_offset", F.lit("mine")), bounds), scan.offset_gaps(log), append.drop_retries(log),
+        append.append_offsets(log, log.drop("offset").withColumn("log_end_offset", F.lit("mine"))),
+    ]
+    for df in found:
+        r = df.collect()[0]
+        assert (r.rank, r.again, r.first_bad, r["__block"], r.block_no) == ("r", "a", "f", "b", "n")
+    assert found[3].collect()[0].next_offset == "mine" and found[6].collect()[0].log_end_offset == "mine" and sorted(r.offset for r in found[6].collect()) == [4, 5, 6]
+    assert [(r.offset, r.previous_offset) for r in found[4].collect()] == [(3, 1)]
+
+
+def test_lags_and_ranks_over_blocks_are_those_of_one_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from logmill.sources.logview import dense_rank_in, lag_in
+
+    rng = random.Random(6)
+    orders = rng.sample(range(-500, 500), 150)
+    rows = [(rng.choice(["a", "b", None]), o, None if rng.random() < 0.2 else rng.randrange(9)) for o in orders]
+    df = spark.createDataFrame(rows, "k string, o bigint, v int")
+    by = Window.partitionBy("k").orderBy("o")
+    for block in (7, 64, 1 << 20, F.floor(F.sqrt(F.col("o") + 500.0))):
+        got = lag_in(df, ("k",), "o", "v", "before", block)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, df.withColumn("before", F.lag("v").over(by)).collect()))
+        ranked = dense_rank_in(df, ("k",), "o", "r", block=block)
+        assert sorted(map(repr, ranked.collect())) == sorted(map(repr, df.withColumn("r", (F.row_number().over(by) - 1).cast("bigint")).collect()))
+
+
+def test_percentiles_of_values_of_any_scale(spark):
+    import random
+
+    from logmill.operators import stats
+
+    rng = random.Random(2)
+    for scale in (1e-6, 1.0, 1e9):
+        values = [rng.expovariate(1) * scale for _ in range(700)] + [0.5 * scale] * 300 + [None] * 5
+        df = spark.createDataFrame([("k", v) for v in values] + [("one", 3.0), ("none", None)], "key string, seconds double")
+        got = {(r.key, r.share): r.seconds for r in stats.nearest_rank(df, ["key"], "seconds", (0.0, 0.5, 0.95, 1.0)).withColumnRenamed("value", "seconds").collect()}
+        known = sorted(v for v in values if v is not None)
+        assert got == {("k", s): known[round((len(known) - 1) * s)] for s in (0.0, 0.5, 0.95, 1.0)} | {("one", s): 3.0 for s in (0.0, 0.5, 0.95, 1.0)}
