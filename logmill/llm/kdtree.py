@@ -208,3 +208,35 @@ def shards(docs: DataFrame, target_bytes: int = TARGET_BYTES, local_rows: int =
         inner = placed.where("unfinished").drop("unfinished").groupBy("shard").applyInArrow(finish, "doc_id bigint, bytes bigint, shard bigint")
         out = out.unionByName(inner)
     return out
+
+
+def oracle(target_bytes: int = TARGET_BYTES) -> str:
+    """SQL for the rows of ``shards``: a step splits every open node.  CRC-32 is computed bit by bit, of each distinct string once."""
+    dims = range(len(DIMS))
+    spread = ", ".join(f"(max(d{k}) OVER n - min(d{k}) OVER n) / CAST(r{k} AS DOUBLE) AS s{k}" for k in dims)
+    widest_of = " ".join(f"WHEN s{k} = greatest(s0, s1, s2, s3) THEN {k}" for k in dims)
+    value = " ".join(f"WHEN {k} THEN d{k}" for k in dims)
+    return f"""
+WITH RECURSIVE strings AS (SELECT DISTINCT source AS s FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL),
+bits AS (
+  SELECT s, hex(encode(s)) AS h, CAST(0 AS BIGINT) AS i, CAST(4294967295 AS BIGINT) AS crc FROM strings
+  UNION ALL
+  SELECT s, h, i + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(crc, CAST('0x' || substr(h, CAST(i // 8 * 2 + 1 AS BIGINT), 2) AS BIGINT)) ELSE crc END AS c FROM bits WHERE i < 4 * len(h))),
+crcs AS (SELECT s, xor(crc, 4294967295) AS crc FROM bits WHERE i = 4 * len(h)),
+points AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0) AS bytes, coalesce(doc_id, (SELECT min(doc_id) FROM documents), 0) AS d0, coalesce(strlen(text), 0) AS d1, coalesce(a.crc, -1) AS d2, coalesce(b.crc, -1) AS d3
+  FROM documents LEFT JOIN crcs a ON source = a.s LEFT JOIN crcs b ON lang = b.s),
+root AS (SELECT {', '.join(f'greatest(1, max(d{k}) - min(d{k})) AS r{k}' for k in dims)} FROM points),
+tree AS (
+  SELECT r, CAST(1 AS BIGINT) AS path, true AS unfinished FROM points
+  UNION ALL
+  SELECT r, CASE WHEN splits THEN 2 * path + CASE WHEN v > CASE WHEN cut = most THEN below ELSE cut END THEN 1 ELSE 0 END ELSE path END, splits
+  FROM (
+    SELECT *, max(CASE WHEN v < most THEN v END) OVER (PARTITION BY path) AS below FROM (
+      SELECT *, min(CASE WHEN 2 * run >= total THEN v END) OVER (PARTITION BY path) AS cut, max(v) OVER (PARTITION BY path) AS most FROM (
+        SELECT *, sum(bytes) OVER (PARTITION BY path ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, total > {target_bytes} AND greatest(s0, s1, s2, s3) > 0 AS splits FROM (
+          SELECT *, CASE CASE {widest_of} END {value} END AS v FROM (
+            SELECT t.r, t.path, bytes, d0, d1, d2, d3, sum(bytes) OVER n AS total, {spread} FROM tree t JOIN points p ON t.r = p.r, root WHERE unfinished WINDOW n AS (PARTITION BY t.path)))))))
+SELECT doc_id, bytes, path AS shard FROM tree JOIN points ON tree.r = points.r WHERE NOT unfinished
+"""

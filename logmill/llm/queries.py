@@ -62,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op9_quality_classifier,
     op10_byte_level_bpe,
 )}
-ORACLES: dict[str, str] = {"op1_document_fingerprints": fingerprint.ORACLE, "op4_benchmark_decontamination": decontam.oracle(), "op5_substring_dedup": recompress.oracle(), "op7_url_filters": urlfilter.oracle()}
+ORACLES: dict[str, str] = {"op1_document_fingerprints": fingerprint.ORACLE, "op4_benchmark_decontamination": decontam.oracle(), "op5_substring_dedup": recompress.oracle(), "op6_kd_tree_sharding": kdtree.oracle(), "op7_url_filters": urlfilter.oracle()}

@@ -86,3 +86,18 @@ def test_a_very_long_text_has_a_leaf_of_its_own_size(spark):
     for local_rows in (1, 1000):
         got = kdtree.shards(docs, target_bytes=100, local_rows=local_rows).collect()
         assert sorted(((r.doc_id, r.bytes, r.shard) for r in got), key=repr) == brute(rows, 100)
+
+
+def test_sql_gives_the_same_leaves(spark):
+    import duckdb
+
+    rows = sample(200) + [(-5, "é" * 30, "ü", "ß/x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.execute("CREATE TABLE typed AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, lang, source FROM documents")
+    con.unregister("documents")
+    con.execute("ALTER TABLE typed RENAME TO documents")
+    for target in (1 << 30, 3000, 700):
+        theirs = con.execute(kdtree.oracle(target)).fetchall()
+        assert sorted(theirs, key=repr) == sorted(((r.doc_id, r.bytes, r.shard) for r in kdtree.shards(docs, target_bytes=target).collect()), key=repr)
