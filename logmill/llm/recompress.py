@@ -14,6 +14,10 @@ equal symbols wherever those bounds lie within them, whatever surrounds them.
 
 The test in 2 is a necessary condition, so the result is that of comparing all windows of all documents.
 Shuffled are the symbols (about a tenth of the words), the texts once, and the windows that pass.
+
+A passage may stand in a third of all documents.  Where many rows of a batch have a window, the one of the least doc_id stands for them in
+the shuffle; the others go under a key of their batch and learn from it, by a join with unique keys, what it has learnt.  No
+task gets more rows of a window than there are batches, and some ``HOT`` from each where it is rarer.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ MIN_WORDS = 50
 LEVELS = 7
 RUN = 16
 LEAST_SPAN = 3
+HOT = 16
+_MOST = (1 << 63) - 1
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
@@ -125,6 +131,22 @@ def _combined(name: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "doc_id", "place", "known"])
 
 
+def _parted(window: np.ndarray, check: np.ndarray, owner: np.ndarray, at: np.ndarray, hot: int) -> pa.RecordBatch:
+    """Rows (window, check, doc_id, at, batch_key) for the shuffle.  Of ``hot`` or more rows of a window the least one has its
+    batch_key, a key for it in this batch; the others have it for both."""
+    order = np.lexsort((at, owner, check, window))
+    window, check, owner, at = window[order], check[order], owner[order], at[order]
+    new = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1]) | (check[1:] != check[:-1]))))
+    size = np.diff(np.append(new, len(window)))
+    many = np.repeat(size >= hot, size)
+    first = np.repeat(owner[new], size).astype(_U)
+    own = mix64(window.view(_U) ^ mix64(first * _A + _C)).view(np.int64)
+    follows = many.copy()
+    follows[new] = False
+    columns = [pa.array(np.where(follows, own, window)), pa.array(check), pa.array(owner), pa.array(at), pa.array(own, mask=~many)]
+    return pa.RecordBatch.from_arrays(columns, ["window", "check", "doc_id", "at", "batch_key"])
+
+
 _W = _U(0xD6E8FEB86659FD93)
 
 
@@ -156,7 +178,7 @@ def _comparable(docs: DataFrame, min_words: int) -> DataFrame:
     return text_input(docs).where(F.col("doc_id").isNotNull() & long)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LEVELS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LEVELS, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, start_word, end_word, first_doc_id): maximal spans of words, ``end_word`` excluded, in which every
     window of ``min_words`` words also occurs in a document with a lesser doc_id; ``first_doc_id`` is the least such.
 
@@ -220,12 +242,26 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, levels: int = LE
             at.append((versions[i + owner] << 32) | (starts - offsets[owner]))
         if not hashes:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, checks, owners, at)], ["window", "check", "doc_id", "at"])
-
-    passed = arrow_map(marked, windows, "window bigint, check bigint, doc_id bigint, at bigint")
+        return _parted(*map(np.concatenate, (hashes, checks, owners, at)), hot)
+
+    # sorted, so that a task that runs again has the same batches and the same keys of batches
+    ordered = marked.sortWithinPartitions("doc_id", "v")
+    passed = arrow_map(ordered, windows, "window bigint not null, check bigint not null, doc_id bigint not null, at bigint not null, batch_key bigint").repartition("window", "check")
+    # a condition isn't taken below a column of random numbers: with it, and with all columns named, branches share one shuffle
+    passed = passed.withColumn("random", F.rand(1))
+
+    def branch(condition: str) -> DataFrame:
+        return passed.where(f"({condition}) and at >= 0 and check <= {_MOST} and doc_id <= {_MOST} and random >= 0").drop("random")
+
+    of_window = ["window", "check"]
+    plain = branch("batch_key is null or batch_key <> window")
+    least = plain.groupBy(*of_window).agg(F.min("doc_id").alias("first_doc_id"), F.max("batch_key").alias("told")).where("told is not null").drop("told")
+    told = branch("batch_key <> window").join(least, of_window).groupBy(F.col("batch_key").alias("window"), "check").agg(F.min("first_doc_id").alias("first_doc_id"))
+    others = branch("batch_key = window").join(told, of_window).select("doc_id", "at", "first_doc_id")
+    plain = plain.select("doc_id", "at", F.min("doc_id").over(Window.partitionBy(*of_window)).alias("first_doc_id"))
     repeated = (
-        passed.withColumn("first_doc_id", F.min("doc_id").over(Window.partitionBy("window", "check"))).where("first_doc_id < doc_id")
-        .groupBy("doc_id", F.expr("at >> 32").alias("text_hash")).agg(F.collect_list(F.expr("cast(at & 4294967295 as int)")).alias("at"), F.collect_list("first_doc_id").alias("firsts"))
+        plain.unionByName(others).where("first_doc_id < doc_id").groupBy("doc_id", F.expr("at >> 32").alias("text_hash"))
+        .agg(F.collect_list(F.expr("cast(at & 4294967295 as int)")).alias("at"), F.collect_list("first_doc_id").alias("firsts"))
     )
 
     def islands(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -127,3 +127,45 @@ def test_window_hashes_have_two_independent_halves():
     one, two = recompress._Windows(50)(h, at)
     assert (one[200:211] == one[20:31]).all() and (two[200:211] == two[20:31]).all() and len(set(one.tolist())) == len(set(two.tolist())) == len(at) - 11
     assert not (one == two).any()
+
+
+def firsts(rows, n):
+    """The least doc_id of any window of each span of ``brute``."""
+    first, out = {}, {}
+    texts = [(d, words_of(t)) for d, t in rows if d is not None and t is not None]
+    for d, w in texts:
+        for i in range(len(w) - n + 1):
+            first[tuple(w[i : i + n])] = min(first.get(tuple(w[i : i + n]), d), d)
+    for d, w in texts:
+        for a, b in merged((i, i + n) for i in range(len(w) - n + 1) if first[tuple(w[i : i + n])] < d):
+            out[d, a, b] = min(f for i in range(a, b - n + 1) if (f := first[tuple(w[i : i + n])]) < d)
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 5, 16])
+def test_passages_of_very_many_documents(spark, make_docs, hot):
+    rng = random.Random(31)
+    passages = [words(rng, 70) for _ in range(3)]
+    rows = [(i, words(rng, rng.randrange(30)) + " " + passages[0 if i % 3 else rng.randrange(3)] + " " + words(rng, 10)) for i in rng.sample(range(5000), 400)]
+    rows += [rows[5], rows[6], (rows[7][0], rows[7][1] + " more " + passages[1])]
+    for parts in (1, 6):
+        got = recompress.repeated_spans(make_docs(rows).repartition(parts), min_words=20, hot=hot)
+        assert {(r.doc_id, r.start_word, r.end_word): r.first_doc_id for r in got.collect() if r.doc_id != rows[7][0]} == {k: v for k, v in firsts(rows, 20).items() if k[0] != rows[7][0]}
+        assert sorted({(r.doc_id, r.start_word, r.end_word) for r in got.collect()}) == sorted(set(brute(rows, 20)))
+    # the texts are joined and searched for windows once, whatever reads them
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("SortMergeJoin [doc_id") <= 1 and final.count("ReusedExchange") + final.count("ResultQueryStage") >= 4, final
+
+
+def test_few_rows_of_a_window_share_a_key():
+    rng = np.random.default_rng(8)
+    window, owner = rng.integers(0, 30, 3000), rng.integers(0, 900, 3000)
+    window[:1500] = 77
+    out = recompress._parted(window, window * 3, owner, np.arange(3000), 16).to_pandas()
+    plain = out[out.batch_key.isna() | (out.batch_key != out.window)]
+    assert plain.groupby(["window", "check"]).size().max() < 16 and sorted(out["at"]) == list(range(3000))
+    stands = plain[plain.batch_key.notna()].set_index("batch_key")
+    for key, rows in out[out.batch_key == out.window].groupby("window"):
+        rep = stands.loc[key]
+        members = np.append(rows["at"].to_numpy(), rep["at"])
+        assert set(window[members]) == {rep["window"]} and rep["doc_id"] == owner[members].min() and len(members) == (window == rep["window"]).sum()
