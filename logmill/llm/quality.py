@@ -92,13 +92,12 @@ def context_sums(w: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each bucket the sum of the index vectors of the words within REACH places in the same document."""
     places, signs = index_vectors()
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    cells, values = [], []
+    total = np.zeros(BUCKETS * DIMS)
     for o in range(1, REACH + 1):
         together = np.flatnonzero(doc[o:] == doc[:-o])
         for a, b in ((w[together], w[together + o]), (w[together + o], w[together])):
-            cells.append((a[:, None] * DIMS + places[b]).ravel())
-            values.append(signs[b].ravel())
-    return np.bincount(np.concatenate(cells), np.concatenate(values), BUCKETS * DIMS)
+            total += np.bincount((a[:, None] * DIMS + places[b]).ravel(), signs[b].ravel(), BUCKETS * DIMS)
+    return total
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -109,7 +108,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         words, total = Words(), np.zeros(BUCKETS * DIMS)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i, j in slices(texts, 500_000):
+            for i, j in slices(texts):
                 w, off = words(texts[i:j])
                 if len(w) > 1:
                     total += context_sums(w, off)
