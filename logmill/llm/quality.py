@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmill.llm.base import DOCUMENT_COLUMNS, arrow_map, text_input
+from logmill.llm.base import DOCUMENT_COLUMNS, arrow_map, staged, text_input
 from logmill.llm.tokens import mix64, slices
 
 BUCKETS = 1 << 14
@@ -82,6 +83,7 @@ class Words:
         return (h >> _U(40)).astype(np.int64) & (buckets - 1), np.concatenate(([0], np.searchsorted(edge, ends)))
 
 
+@lru_cache(1)
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """(places, signs) of the ``NONZERO`` entries of each bucket's index vector."""
     rng = np.random.default_rng(9)
@@ -92,12 +94,15 @@ def context_sums(w: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each bucket the sum of the index vectors of the words within REACH places in the same document."""
     places, signs = index_vectors()
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    total = np.zeros(BUCKETS * DIMS)
+    cells, values = np.empty((2 * REACH * len(w), NONZERO), np.int64), np.empty((2 * REACH * len(w), NONZERO))
+    n = 0
     for o in range(1, REACH + 1):
         together = np.flatnonzero(doc[o:] == doc[:-o])
         for a, b in ((w[together], w[together + o]), (w[together + o], w[together])):
-            total += np.bincount((a[:, None] * DIMS + places[b]).ravel(), signs[b].ravel(), BUCKETS * DIMS)
-    return total
+            np.add(a[:, None] * DIMS, places[b], out=cells[n : n + len(a)])
+            np.take(signs, b, axis=0, out=values[n : n + len(a)])
+            n += len(a)
+    return np.bincount(cells[:n].ravel(), values[:n].ravel(), BUCKETS * DIMS)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -248,7 +253,8 @@ def labelled(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: in
     spark = docs.sparkSession
     # bounded by ``sample``, so it may be broadcast at any size of the corpus
     wanted = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(rows), pa.int64()), "toxic": pa.array([rows[i][1] for i in sorted(rows)], pa.int64())}).to_pandas())
-    texts = text_input(docs).where("text is not null").join(F.broadcast(wanted), "doc_id")
+    # written once, so that marks and features don't each read the corpus
+    texts = staged(text_input(docs).where("text is not null").join(F.broadcast(wanted), "doc_id"), "labelled")
 
     def count(b: pa.RecordBatch, state: dict = {}) -> pa.RecordBatch:  # noqa: B006
         words, texts, toxic, cells = state.setdefault("words", Words()), b.column(1).to_pylist(), b.column(2).to_numpy(), []
