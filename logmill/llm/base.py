@@ -82,54 +82,80 @@ def _clusters(piece: str) -> list[str]:
     return [piece[a:b] for a, b in zip(cuts, [*cuts[1:], len(piece)])]
 
 
-def word_starts(text: str) -> list[int]:
-    """Where in ``text`` each word of its folded form begins.
+def _places(text: str) -> tuple[list[int], dict[int, tuple[str, int, int]]]:
+    """Where in ``text`` each word of its folded form begins, and of those that begin within a character, after another word of
+    it: (the character folded, where the word begins in that, where the character ends).
 
     Blanks never compose, so what stands between them folds by itself.  In a piece whose folded form has other words than the
-    piece, each character with its marks is folded by itself; the words of a character that gives several begin where it does.
+    piece, each character with its marks is folded by itself.
     """
     if text.isascii():
-        return [m.start() for m in _WORD.finditer(text)]
+        return [m.start() for m in _WORD.finditer(text)], {}
     out: list[int] = []
+    inside: dict[int, tuple[str, int, int]] = {}
     for m in _PIECE.finditer(text):
         piece, at = m.group(), m.start()
         if piece.isascii():
             out.extend(at + w.start() for w in _WORD.finditer(piece))
             continue
         folded = fold(piece)
-        n, plain = len(_WORD.findall(folded)), [w.start() for w in _WORD.finditer(piece)]
-        if n == len(plain) and unicodedata.is_normalized("NFKC", piece) and len(piece.casefold()) == len(piece):
+        # folding may turn a mark into a letter, so words are looked for in the folded characters
+        lower = piece.casefold()
+        n, plain = len(_WORD.findall(folded)), [w.start() for w in _WORD.finditer(lower)]
+        if n == len(plain) and len(lower) == len(piece) and unicodedata.is_normalized("NFKC", piece):
             out.extend(at + w for w in plain)
             continue
-        where, parts, here = [], [], 0
-        for cluster in _clusters(piece):
-            parts.append(fold(cluster))
-            where.extend([here] * len(parts[-1]))
-            here += len(cluster)
-        found = [where[w.start()] for w in _WORD.finditer("".join(parts))]
-        # compositions across characters don't add or remove words; if they did, the piece would count as one character
-        out.extend(at + w for w in (found if len(found) == n else [0] * n))
-    return out
+        parts = [(c, fold(c)) for c in _clusters(piece)]
+        words = [w.start() for w in _WORD.finditer("".join(f for _, f in parts))]
+        if len(words) != n:  # compositions across characters don't add or remove words; if they did, the piece would count as one character
+            parts, words = [(piece, folded)], [w.start() for w in _WORD.finditer(folded)]
+        k = begin = 0
+        for c, f in parts:
+            while k < n and words[k] < begin + len(f):
+                if _WORD.search(f, 0, words[k] - begin):
+                    inside[len(out)] = (f, words[k] - begin, at + len(c))
+                out.append(at)
+                k += 1
+            begin, at = begin + len(f), at + len(c)
+    return out, inside
+
+
+def word_starts(text: str) -> list[int]:
+    """Where in ``text`` each word of its folded form begins; the words of a character that gives several begin where it does."""
+    return _places(text)[0]
+
+
+def _joined(left: str, right: str) -> str:
+    """``left`` and ``right``, with a space where a word would run on."""
+    i = len(left) - 1
+    while i > 0 and unicodedata.combining(left[i]):
+        i -= 1
+    last = fold(left[i:]) if left else ""
+    return f"{left} {right}" if right and last and _WORD.match(last[-1]) else left + right
 
 
 def cut_words(text: str, spans: Iterable[tuple[int, int]]) -> str:
     """``text`` without the words of the spans ``[a, b)``, sorted and disjoint; what follows the last word
     of a span up to the next word goes with it.
 
-    Words are counted in the folded text and cut from the text itself, whose case and marks stay.  A character that
-    folds to several words goes with the first of them that goes.
+    Words are counted in the folded text and cut from the text itself, whose case and marks stay.  Of a character that
+    folds to several words, some of which go, the others stay in folded form: no word goes that no span holds.
     """
-    at = word_starts(text)
-    kept, here = [], 0
-    for a, b in spans:
-        if a >= len(at):
+    at, inside = _places(text)
+    whole = len(text)
+    kept, here, behind = "", 0, None
+    for a, b in [*spans, (len(at), len(at))]:
+        a = min(a, len(at))
+        stop, before = at[a] if a < len(at) else whole, inside.get(a)
+        if behind and before and here == stop:
+            part = behind[0][behind[1] : before[1]]
+        else:
+            part = (behind[0][behind[1] :] + text[behind[2] : stop] if behind else text[here:stop]) + (before[0][: before[1]] if before else "")
+        kept = _joined(kept, part)
+        if b >= len(at):
             break
-        kept.append(text[here : max(here, at[a])])
-        while b < len(at) and at[b] == at[b - 1]:
-            b += 1
-        here = at[b] if b < len(at) else len(text)
-    kept.append(text[here:])
-    return "".join(kept)
+        here, behind = at[b], inside.get(b)
+    return kept
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
