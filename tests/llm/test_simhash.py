@@ -77,16 +77,87 @@ def test_empty_table_and_no_copies(make_docs):
     assert simhash.near_copies(docs).count() == 0 and simhash.drop_near_copies(docs).count() == 2
 
 
-@pytest.mark.parametrize("distance, recall", [(simhash.MAX_DISTANCE, 0.9), (30, 0.985), (20, 0.999)])
-def test_recall_of_the_blocks(distance, recall):
+def flipped(fp, bits):
+    out = np.unpackbits(fp)
+    out[bits] ^= 1
+    return np.packbits(out)
+
+
+def fingerprint_nodes(spark, fps):
+    return spark.createDataFrame([(i, bytes(f)) for i, f in enumerate(fps)], "node bigint, fp binary")
+
+
+def all_pairs(fps, limit):
+    w = np.ascontiguousarray(fps).view(np.uint64)
+    return [(a, b) for a in range(len(w)) for b in np.flatnonzero(np.bitwise_count(w[a + 1 :] ^ w[a]).sum(axis=1) <= limit) + a + 1]
+
+
+@pytest.mark.parametrize("distance", [simhash.MAX_DISTANCE, 30, 20])
+def test_recall_of_the_blocks(spark, distance):
+    """Of pairs that differ in random bits none is missed: some block and its neighbours keep to what they may differ in."""
     rng = np.random.default_rng(distance)
-    flips = np.zeros((20_000, simhash.BITS), bool)
-    for row in flips:
-        row[rng.choice(simhash.BITS, distance, replace=False)] = True
-    found = np.zeros(len(flips), bool)
-    for block in simhash.layouts():
-        found |= ~flips[:, block].any(axis=1)
-    assert found.mean() >= recall
+    fps = rng.integers(0, 256, (1500, 32), np.uint8)
+    fps = np.stack((fps, [flipped(f, rng.choice(simhash.BITS, distance, replace=False)) for f in fps]), axis=1).reshape(-1, 32)
+    got = {(r.a, r.b) for r in simhash.close_pairs(fingerprint_nodes(spark, fps)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 3000, 2)}
+
+
+def test_pairs_at_the_limit_whose_bits_lie_worst(spark):
+    """The limit's bits dealt evenly over the ring from any bit on, so that each block has as many as it can; one more is too many."""
+    rng = np.random.default_rng(5)
+    fps, want = [], set()
+    for k in range(400):
+        n = simhash.MAX_DISTANCE + k % 2
+        base = rng.integers(0, 256, 32, np.uint8)
+        fps += [base, flipped(base, (np.arange(n) * simhash.BITS // n + k) % simhash.BITS)]
+        if k % 2 == 0:
+            want.add((2 * k, 2 * k + 1))
+    assert {(r.a, r.b) for r in simhash.close_pairs(fingerprint_nodes(spark, fps)).collect()} == want
+
+
+@pytest.mark.parametrize(
+    "limit, options",
+    [
+        (simhash.MAX_DISTANCE, {}),
+        (simhash.MAX_DISTANCE, {"part_rows": 9, "heavy": 4}),
+        (simhash.MAX_DISTANCE, {"part_rows": 40}),
+        (simhash.MAX_DISTANCE, {"heavy": 1}),
+        (simhash.MAX_DISTANCE, {"blocks": 20, "part_rows": 100}),
+        (30, {"blocks": 11, "part_rows": 100}),
+        (5, {"part_rows": 40, "heavy": 4}),
+        (0, {}),
+    ],
+)
+def test_pairs_connect_what_all_pairs_connect(spark, limit, options):
+    rng = np.random.default_rng(limit)
+    fps = []
+    for size in (1, 1, 1, 2, 3, 30, 120):  # groups that wander off, so that few of a group's pairs are close
+        group = [rng.integers(0, 256, 32, np.uint8)]
+        while len(group) < size:
+            group.append(flipped(group[rng.integers(len(group))], rng.choice(simhash.BITS, rng.integers(1, max(limit, 1) + 3), replace=False)))
+        fps += group
+    low = np.zeros((40, simhash.BITS), np.uint8)  # few bits set, as short texts have
+    low[np.arange(40)[:, None], rng.integers(0, simhash.BITS, (40, 25))] = 1
+    fps = np.unique(np.concatenate((fps, np.packbits(low, axis=1), [np.zeros(32, np.uint8), np.full(32, 255, np.uint8)])), axis=0)
+    rng.shuffle(fps)
+    pairs = all_pairs(fps, limit)
+    got = [(r.a, r.b) for r in simhash.close_pairs(fingerprint_nodes(spark, fps), limit, **options).collect()]
+    assert set(got) <= set(pairs) and len(got) == len(set(got))
+    assert components(len(fps), got) == components(len(fps), pairs)
+
+
+def test_pairs_of_no_and_one_node(spark):
+    assert simhash.close_pairs(fingerprint_nodes(spark, [])).count() == 0
+    assert simhash.close_pairs(fingerprint_nodes(spark, [bytes(32)])).count() == 0
+
+
+def test_a_large_group_leaves_few_pairs(spark):
+    """A group of 2000 near copies, half of which share each block, leaves about a spanning tree a block."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 256, 32, np.uint8)
+    fps = np.unique([base, *(flipped(base, rng.choice(simhash.BITS, 8, replace=False)) for _ in range(2000))], axis=0)
+    got = [(r.a, r.b) for r in simhash.close_pairs(fingerprint_nodes(spark, fps)).collect()]
+    assert set(components(len(fps), got)) == {0} and len(got) < simhash.BLOCKS * len(fps)
 
 
 def test_forest_connects_what_all_pairs_connect():
