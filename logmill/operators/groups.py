@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -89,18 +90,78 @@ def session_expiry(beats: DataFrame, timeout_ms: int) -> DataFrame:
     return beats.withColumn("gap_ms", after - F.col("now_ms")).where(F.col("gap_ms") > timeout_ms)
 
 
+class Least:
+    """A set whose least elements are found without sorting it: a heap, where what has left the set is dropped as it comes up."""
+
+    def __init__(self) -> None:
+        self.live: set[str] = set()
+        self.heap: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.live)
+
+    def add(self, x: str) -> None:
+        if x not in self.live:
+            self.live.add(x)
+            heappush(self.heap, x)
+
+    def discard(self, x: str) -> None:
+        self.live.discard(x)
+        if len(self.heap) > 2 * len(self.live) + 16:
+            self.heap = sorted(self.live)
+
+    def first(self) -> str | None:
+        while self.heap and self.heap[0] not in self.live:
+            heappop(self.heap)
+        return self.heap[0] if self.heap else None
+
+    def least(self, n: int) -> list[str]:
+        """The ``n`` least, or all, in order."""
+        found: list[str] = []
+        while self.heap and len(found) < n:
+            x = heappop(self.heap)
+            # what left and came back may stand there twice
+            if x in self.live and (not found or found[-1] != x):
+                found.append(x)
+        for x in found:
+            heappush(self.heap, x)
+        return found
+
+
+@dataclass
+class Assignments:
+    """What members are assigned, ``rest`` where it isn't said, so that all lose theirs or get none in one step."""
+
+    own: dict[str, object] = field(default_factory=dict)
+    rest: object = None
+
+
 @dataclass
 class Member:
+    id: str
     kind: tuple
     topics: tuple[str, ...]
     session_timeout_ms: int
     last_heartbeat_ms: int
-    assignment: object = None
+    assignments: Assignments
+    #: The deadline under which the group looks at the member again, at most the real one.
+    queued: int | None = None
+
+    @property
+    def deadline(self) -> int:
+        return self.last_heartbeat_ms + self.session_timeout_ms
+
+    @property
+    def assignment(self) -> object:
+        return self.assignments.own.get(self.id, self.assignments.rest)
 
 
 @dataclass
 class Group:
-    """A consumer group; ``step`` is the fold that batch and streaming share."""
+    """A consumer group; ``step`` is the fold that batch and streaming share.
+
+    No event goes over all members: expired ones are found by a heap of deadlines, the leader and those that get partitions by
+    heaps of ids."""
 
     generation: int = 0
     protocol: str = ""
@@ -109,10 +170,64 @@ class Group:
     failed: bool = False
     members: dict[str, Member] = field(default_factory=dict)
     exists: bool = False
+    assignments: Assignments = field(default_factory=Assignments)
+    ids: Least = field(default_factory=Least)
+    subscribers: dict[str, Least] = field(default_factory=dict)
+    deadlines: list[tuple[int, str]] = field(default_factory=list)
+
+    def _watch(self, m: Member) -> None:
+        """Sees to it that the member is looked at by its deadline.  One that moved on is put off when it comes up, so beats
+        leave no entries behind."""
+        if m.queued is not None and m.queued <= m.deadline:
+            return
+        m.queued = m.deadline
+        heappush(self.deadlines, (m.deadline, m.id))
+        if len(self.deadlines) > 2 * len(self.members) + 16:
+            for m in self.members.values():
+                m.queued = m.deadline
+            self.deadlines = sorted((m.deadline, m.id) for m in self.members.values())
+
+    def _put(self, m: Member) -> None:
+        old = self.members.get(m.id)
+        if old is not None:
+            m.queued = old.queued
+        self.members[m.id] = m
+        self.ids.add(m.id)
+        if old is None or old.topics != m.topics:
+            if old is not None:
+                self._unsubscribe(old)
+            for t in m.topics:
+                if t not in self.subscribers:
+                    self.subscribers[t] = Least()
+                self.subscribers[t].add(m.id)
+        self._watch(m)
+
+    def _unsubscribe(self, m: Member) -> None:
+        for t in set(m.topics):
+            self.subscribers[t].discard(m.id)
+            if not self.subscribers[t]:
+                del self.subscribers[t]
+
+    def _remove(self, member_id: str) -> None:
+        self._unsubscribe(self.members.pop(member_id))
+        self.ids.discard(member_id)
+        self.assignments.own.pop(member_id, None)
+
+    def _assign(self, own: dict[str, object], rest: object) -> None:
+        self.assignments.own, self.assignments.rest = own, rest
 
     def _prune(self, now: int) -> bool:
         before = len(self.members)
-        self.members = {k: m for k, m in self.members.items() if now - m.last_heartbeat_ms <= m.session_timeout_ms}
+        while self.deadlines and self.deadlines[0][0] < now:
+            at, k = heappop(self.deadlines)
+            m = self.members.get(k)
+            if m is None or m.queued != at:
+                continue  # it left, or has another entry
+            if m.deadline < now:
+                self._remove(k)
+            else:
+                m.queued = None
+                self._watch(m)
         return len(self.members) != before
 
     def join(self, group_id: str, member_id: str | None, protocol_type: str, protocol: str, topics: tuple[str, ...], session_ms: int, rebalance_ms: int, now: int) -> str:
@@ -123,31 +238,31 @@ class Group:
         kind = (protocol_type, protocol, session_ms, rebalance_ms)
         old = self.members.get(member_id)
         changed = old is None or (old.kind, old.topics) != (kind, topics)
-        self.members[member_id] = Member(kind, topics, session_ms, now)
+        self._put(Member(member_id, kind, topics, session_ms, now, self.assignments))
         if pruned or changed or self.generation == 0:
             self.generation += 1
             self.protocol = protocol
             self.ready = self.failed = False
-            for m in self.members.values():
-                m.assignment = None
-        self.leader = min(self.members)
+            self._assign({}, None)
+        else:
+            self.assignments.own[member_id] = None
+        self.leader = self.ids.first()
         return member_id
 
     def build(self, partitions: dict[str, list[int]]) -> None:
-        """Range assignment of ``partitions`` (by topic) to the members."""
-        shares: dict[str, list[tuple[str, int]]] = {k: [] for k in self.members}
-        for topic in sorted({t for m in self.members.values() for t in m.topics}):
-            own = sorted(k for k, m in self.members.items() if topic in m.topics)
-            places = partitions.get(topic)
+        """Range assignment of ``partitions`` (by topic) to the members.  Beyond as many members as a topic has partitions none gets
+        any of it."""
+        shares: dict[str, list[tuple[str, int]]] = {}
+        for topic in partitions.keys() & self.subscribers.keys():
+            places, own = partitions[topic], self.subscribers[topic]
             if places is None:
                 continue
             base, rest, at = *divmod(len(places), len(own)), 0
-            for i, k in enumerate(own):
+            for i, k in enumerate(own.least(len(places))):
                 size = base + (i < rest)
-                shares[k] += [(topic, p) for p in places[at : at + size]]
+                shares.setdefault(k, []).extend((topic, p) for p in places[at : at + size])
                 at += size
-        for k, m in self.members.items():
-            m.assignment = sorted(shares[k])
+        self._assign({k: sorted(v) for k, v in shares.items()}, [])
 
     def sync(self, member_id: str, generation: int, given: dict[str, object], partitions: dict[str, list[int]], now: int) -> tuple[int, object]:
         """(error, assignment).  The leader may bring assignments, complete and not empty; else they are built here."""
@@ -159,11 +274,10 @@ class Group:
         if generation != self.generation:
             return schema.STALE_GENERATION, None
         if given:
-            if any(not v or k not in self.members for k, v in given.items()) or set(self.members) - set(given):
+            if any(not v or k not in self.members for k, v in given.items()) or len(given) < len(self.members):
                 self.ready, self.failed = False, True
                 return schema.UNKNOWN_MEMBER, None
-            for k, v in given.items():
-                self.members[k].assignment = v
+            self._assign(dict(given), None)
             self.ready, self.failed = True, False
         elif self.leader == member_id:
             self.build(partitions)
@@ -183,13 +297,16 @@ class Group:
             return schema.UNKNOWN_MEMBER
         if generation != self.generation:
             return schema.STALE_GENERATION
-        self.members[member_id].last_heartbeat_ms = now
+        m = self.members[member_id]
+        m.last_heartbeat_ms = now
+        self._watch(m)
         return schema.OK
 
     def leave(self, member_id: str) -> int:
-        if self.members.pop(member_id, None) is not None:
+        if member_id in self.members:
+            self._remove(member_id)
             self.generation += 1
-            self.leader = min(self.members, default=None)
+            self.leader = self.ids.first()
         return schema.OK
 
     def commit(self, member_id: str, generation: int) -> int:

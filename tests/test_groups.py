@@ -75,6 +75,51 @@ def test_server_side_assignment():
     assert g.sync("b", 2, {}, {"t": [0, 1, 2]}, 100) == (0, [("t", 2)]) and g.sync("a", 2, {}, {"t": [0, 1, 2]}, 100) == (0, [("t", 0), ("t", 1)])
 
 
+class Counted(str):
+    """An id that counts how often it is looked at."""
+
+    seen = 0
+
+    def __hash__(self):
+        Counted.seen += 1
+        return str.__hash__(self)
+
+    def __lt__(self, other):
+        Counted.seen += 1
+        return str.__lt__(self, other)
+
+
+def test_an_event_does_not_go_over_all_members():
+    g, events = Group(), 0
+    Counted.seen = 0
+    for k in range(600):
+        m = Counted(f"m{k * 7919 % 600:04}")
+        join(g, m, k, ("t", "u"), session=100_000)
+        assert g.sync(m, g.generation, {}, {"t": [0, 1, 2], "u": [0]}, k)[0] == 0
+        assert g.heartbeat(m, g.generation, k + 1) == 0
+        assert g.leader == min(g.members) if k % 100 == 0 else True
+        events += 3
+    assert len(g.members) == 600 and {k for k, m in g.members.items() if m.assignment} == {"m0000", "m0001", "m0002"}
+    for k in range(0, 600, 2):
+        g.leave(Counted(f"m{k:04}"))
+        events += 1
+    assert g.leader == "m0001" and Counted.seen < 100 * events
+
+
+def test_beats_leave_nothing_behind_and_clocks_may_go_back():
+    g = Group()
+    join(g, "a", 0, session=10)
+    join(g, "b", 0, session=10)
+    for now in [*range(1, 1000), 500, *range(500, 1000)]:
+        assert g.heartbeat("a", g.generation, now) == 0
+    assert len(g.deadlines) < 50
+    join(g, "c", 20, session=10)  # "b" was last heard at 0
+    assert set(g.members) == {"a", "c"}
+    assert g.heartbeat("a", g.generation, 5) == 0
+    join(g, "c", 16, session=10)
+    assert set(g.members) == {"c"}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("tu")), min_size=1, max_size=8), st.integers(0, 9))
 def test_assignment_splits_evenly_and_agrees_with_the_fold(spark, subscriptions, n):
