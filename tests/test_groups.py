@@ -1,9 +1,10 @@
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from logmill.operators import groups
+from logmill.operators import folds, groups
 from logmill.operators.groups import Group
 
 
@@ -166,6 +167,17 @@ def test_stored_keys(spark):
     assert found == [("t", 0, 7), ("a:b", 12, -1), None, None, None, None]
 
 
+def test_columns_are_converted_as_arrow_does():
+    rows = [{"i": None if k % 3 == 0 else k, "n": 2**62 + k, "s": None if k % 4 == 0 else f"ü{k}", "b": None if k % 5 == 0 else b"\xff" * k, "l": None if k % 7 == 0 else [None, "x"][: k % 3], "x": [k, None], "f": None if k % 2 else k / 3, "t": k % 2 == 0,
+             "m": None if k % 5 == 1 else [("a", b"1"), ("b", None)][: k % 3]} for k in range(50)]
+    kinds = pa.schema({"i": pa.int32(), "n": pa.int64(), "s": pa.string(), "b": pa.binary(), "l": pa.list_(pa.string()), "x": pa.list_(pa.int32()), "f": pa.float64(), "t": pa.bool_(), "m": pa.map_(pa.string(), pa.binary())})
+    whole = pa.RecordBatch.from_pylist(rows, schema=kinds)
+    for b in (whole, whole.slice(3, 20), whole.slice(50), whole.slice(0, 1)):
+        for name, column in zip(b.schema.names, b.columns):
+            got = folds.values_of(column)
+            assert got == column.to_pylist() and [type(x) for x in got] == [type(x) for x in column.to_pylist()], name
+
+
 def test_one_group_over_many_arrow_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     ops = ["join", "sync", "heartbeat", "commit", "leave"]
