@@ -1,7 +1,7 @@
 """Segment files as a Spark source: ``spark.read.format("log_segments").load(root)`` and the same as a stream.
 
 Below ``root``, on any file system that Arrow knows, stands ``topics/<topic>/partitions/<n>/*.log``.  A partition's file is read in splits of
-``SPLIT_BYTES`` that begin where its sparse index has an entry; equalities on topic and partition choose the files, and a lower
+``SPLIT_BYTES``, or of more where there would be over ``SPLITS`` of them, that begin where its sparse index has an entry; equalities on topic and partition choose the files, and a lower
 bound of the offset is looked up in the index, so earlier batches aren't read.  Both are found by binary search in the index
 file.  A torn tail is left out; damage before it is for recovery to cut.  As a stream the position is the next offset of each
 partition; the driver learns only the ends, executors read the records.
@@ -14,6 +14,7 @@ import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,9 @@ ARROW = pa.schema([
 ])
 SEGMENT = "00000000000000000000"
 SPLIT_BYTES = 64 << 20
+SPLITS = 1024
 ROWS = 4096
+FIELDS = ["offset", "timestamp_ms", "producer_id", "producer_epoch", "sequence", "key", "value", "headers"]
 _ENTRY = struct.Struct("<qq")
 
 
@@ -105,17 +108,24 @@ class Index:
         return self[k - 1][1] if k else 0
 
 
+def _stretch(files: fs.FileSystem, index: Index, path: str, start: int, end: int | None) -> tuple[int, int]:
+    """Where the records from ``start`` up to ``end`` begin and stop in a partition's file."""
+    stop = _size(files, path)
+    if not stop:
+        return 0, 0
+    if end is not None and (k := index.before(end - 1, 0)) < index.entries:
+        stop = index[k][1]
+    return index.position(start) if start else 0, stop
+
+
 def splits(files: fs.FileSystem, topic: str, partition: int, folder: str, start: int = 0, end: int | None = None, split_bytes: int = SPLIT_BYTES) -> list[Split]:
     """Stretches of a partition's file with the records from ``start`` up to ``end``."""
     path = f"{folder}/{SEGMENT}.log"
-    size = _size(files, path)
-    if not size:
-        return []
     index = Index(files, folder)
-    cuts = [index.position(start) if start else 0]
-    stop = size
-    if end is not None and (k := index.before(end - 1, 0)) < index.entries:
-        stop = index[k][1]
+    begin, stop = _stretch(files, index, path, start, end)
+    if not stop:
+        return []
+    cuts = [begin]
     while cuts[-1] + split_bytes < stop:
         k = index.before(cuts[-1] + split_bytes - 1, 1)
         if k >= index.entries or not cuts[-1] < index[k][1] < stop:
@@ -124,6 +134,18 @@ def splits(files: fs.FileSystem, topic: str, partition: int, folder: str, start:
     return [Split(topic, partition, path, a, b, start, end) for a, b in zip(cuts, [*cuts[1:], stop])]
 
 
+def plan(root: str, wanted: list[tuple[str, int, str, int, int | None]], split_bytes: int) -> list[Split]:
+    """The splits of (topic, partition, folder, start, end).  Each is a task, so where ``split_bytes`` would make more than some
+    ``SPLITS`` of them they are longer; a split is streamed, its length costs no memory."""
+    files, _ = storage(root)
+    total = 0
+    for _, _, folder, start, end in wanted:
+        begin, stop = _stretch(files, Index(files, folder), f"{folder}/{SEGMENT}.log", start, end)
+        total += max(0, stop - begin)
+    split_bytes = max(split_bytes, -(-total // SPLITS))
+    return [s for p in wanted for s in splits(files, *p, split_bytes=split_bytes)]
+
+
 def read_split(root: str, split: Split) -> Iterator[pa.RecordBatch]:
     if not split.path:
         return
@@ -171,37 +193,63 @@ def write_segment(root: str, topic: str, partition: int, batches: list[list[code
             log.write(codec.encode_batch(records))
 
 
+def runs(frame: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """((topic, partition), rows) of the stretches of sorted rows that have them in common."""
+    at = 0
+    while at < frame.num_rows:
+        own = tuple(frame.column(c)[at].as_py() for c in ("topic", "partition"))
+        low, high = at + 1, frame.num_rows
+        while low < high:  # rows are sorted, so equal ones stand together
+            middle = (low + high) // 2
+            same = tuple(frame.column(c)[middle].as_py() for c in ("topic", "partition")) == own
+            low, high = (middle + 1, high) if same else (low, middle)
+        yield own, frame.slice(at, low - at)
+        at = low
+
+
 def write_log(log: DataFrame, root: str, batch: int = 16) -> DataFrame:
     """(topic, partition, records, batches, bytes) of the segments that a log is written to, in batches of aligned offsets.
 
-    A segment is one file in the order of offsets, so a partition is one task's, which streams it and holds one batch.  Files
-    are written aside and then put in place: a task that runs again replaces what it wrote.  Null headers are stored as none.
+    A segment is one file in the order of offsets, so a partition is one task's, which streams it, encodes many batches at once and
+    holds a stretch of rows.  Files are written aside and then put in place: a task that runs again replaces what it wrote.  Null
+    headers are stored as none.
     """
     columns = [F.col(c) for c in ("topic", "partition", "offset", "timestamp_ms", "producer_id", "producer_epoch", "sequence", "key", "value")]
     headers = F.col("headers").cast("string") if "headers" in log.columns else F.lit("[]")
     rows = log.select(*columns, F.coalesce(headers, F.lit("[]")).alias("headers")).repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
     schema = "topic string, partition int, records bigint, batches bigint, bytes bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    absent = {"timestamp_ms": 0, "producer_id": -1, "producer_epoch": -1, "sequence": -1}
 
     def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = storage(root)
         done: list[dict] = []
-        key, waiting, sinks = None, [], {}
-
-        def flush() -> None:
-            if not waiting:
-                return
-            body = codec.encode_batch(waiting)
-            if codec.indexed(waiting[0].offset):
-                sinks["index"].write(codec.encode_index([(waiting[0].offset, done[-1]["bytes"])]))
-                sinks["timeindex"].write(codec.encode_index([(max(r.timestamp_ms for r in waiting), waiting[0].offset)]))
-            sinks["log"].write(body)
-            for k, v in (("records", len(waiting)), ("batches", 1), ("bytes", len(body))):
-                done[-1][k] += v
-            waiting.clear()
+        key, sinks = None, {}
+        waiting: pa.Table | None = None  # of a batch that may go on
+
+        def put(table: pa.Table, whole: bool) -> pa.Table:
+            """Writes the batches of a stretch, without the last unless it is ``whole``, and gives the rows left."""
+            number = table.column("offset").to_numpy() // batch
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(number)) + 1))
+            upto = table.num_rows
+            if not whole:
+                starts, upto = starts[:-1], int(starts[-1])
+            if upto:
+                body, at, greatest = codec.encode_batches(table.slice(0, upto), starts)
+                first = table.column("offset").to_numpy()[starts]
+                kept = codec.indexed(first)
+                sinks["index"].write(np.stack([first, done[-1]["bytes"] + at], 1)[kept].astype("<i8").tobytes())
+                sinks["timeindex"].write(np.stack([greatest, first], 1)[kept].astype("<i8").tobytes())
+                sinks["log"].write(body)
+                for k, v in (("records", upto), ("batches", len(starts)), ("bytes", body.size)):
+                    done[-1][k] += v
+            return table.slice(upto)
 
         def close() -> None:
-            flush()
+            nonlocal waiting
+            if waiting is not None:
+                put(waiting, True)
+                waiting = None
             for kind, sink in sinks.items():
                 sink.close()
                 path = f"{base}/topics/{key[0]}/partitions/{key[1]}/{SEGMENT}.{kind}"
@@ -210,18 +258,18 @@ def write_log(log: DataFrame, root: str, batch: int = 16) -> DataFrame:
 
         tag = f"{os.getpid()}-{os.urandom(8).hex()}"
         for frame in frames:
-            for r in frame.to_pylist():
-                if (r["topic"], r["partition"]) != key:
+            for own, rows in runs(frame):
+                if own != key:
                     close()
-                    key = (r["topic"], r["partition"])
+                    key = own
                     done.append({"topic": key[0], "partition": key[1], "records": 0, "batches": 0, "bytes": 0})
                     folder = f"{base}/topics/{key[0]}/partitions/{key[1]}"
                     files.create_dir(folder, recursive=True)
                     sinks.update({kind: files.open_output_stream(f"{folder}/{SEGMENT}.{kind}.{tag}") for kind in ("log", "index", "timeindex")})
-                if waiting and waiting[-1].offset // batch != r["offset"] // batch:
-                    flush()
-                numbers = [-1 if r[k] is None else r[k] for k in ("producer_id", "producer_epoch", "sequence")]
-                waiting.append(codec.Record(r["offset"], r["timestamp_ms"] or 0, *numbers, r["key"], r["value"], r["headers"].encode()))
+                rows = pa.Table.from_batches([rows]).select(FIELDS)
+                for name, value in absent.items():
+                    rows = rows.set_column(rows.column_names.index(name), name, rows.column(name).fill_null(value))
+                waiting = put(rows if waiting is None else pa.concat_tables([waiting, rows]), False)
         close()
         yield pa.RecordBatch.from_pylist(done, schema=arrow)
 
@@ -261,9 +309,8 @@ class SegmentReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Split]:
-        files, _ = storage(self.root)
-        chosen = [p for p in folders(self.root) if self.topic in (None, p[0]) and self.number in (None, p[1])]
-        return [s for p in chosen for s in splits(files, *p, self.start, split_bytes=self.split_bytes)] or [Split("", -1, "", 0, 0, 0)]
+        chosen = [(*p, self.start, None) for p in folders(self.root) if self.topic in (None, p[0]) and self.number in (None, p[1])]
+        return plan(self.root, chosen, self.split_bytes) or [Split("", -1, "", 0, 0, 0)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         return read_split(self.root, split)
@@ -282,13 +329,12 @@ class SegmentStream(DataSourceStreamReader):
         return {k: n for k, n in ends.items() if n}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
-        files, _ = storage(self.root)
-        out = []
+        wanted = []
         for topic, partition, folder in folders(self.root):
             key = json.dumps([topic, partition])
             if start.get(key, 0) < end.get(key, 0):
-                out += splits(files, topic, partition, folder, start.get(key, 0), end[key], self.split_bytes)
-        return out
+                wanted.append((topic, partition, folder, start.get(key, 0), end[key]))
+        return plan(self.root, wanted, self.split_bytes)
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         return read_split(self.root, split)

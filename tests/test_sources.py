@@ -49,6 +49,35 @@ def test_splits_begin_at_index_entries_and_cover_every_record_once(spark, tmp_pa
         assert got == list(range(start, end))
 
 
+def test_small_splits_of_a_large_log_do_not_grow_with_it(spark, tmp_path):
+    root = str(tmp_path)
+    segments.register(spark)
+    segments.write_segment(root, "a", 0, [[Record(16 * b + k, b) for k in range(16)] for b in range(3 * segments.SPLITS)])
+    segments.write_segment(root, "a", 1, [[Record(16 * b + k, b) for k in range(16)] for b in range(40)])
+    assert spark.read.format("log_segments").option("splitBytes", 1).load(root).rdd.getNumPartitions() <= segments.SPLITS + 2
+    wanted = [(*p, start, end) for p, (start, end) in zip(segments.folders(root), ((70, 40_000), (0, None)))]
+    found = segments.plan(root, wanted, 1)
+    assert 500 < len(found) <= segments.SPLITS + 2
+    got = [r for s in found for b in segments.read_split(root, s) for r in zip(b.column("partition").to_pylist(), b.column("offset").to_pylist())]
+    assert got == [(0, o) for o in range(70, 40_000)] + [(1, o) for o in range(640)]
+
+
+def test_a_log_is_written_byte_by_byte_as_its_batches_are(spark, tmp_path):
+    records = {p: [Record(o, 5_000 - o * (o % 3), o % 4 - 1, o % 2, o, None if o % 5 == 0 else b"k" * (o % 9), None if o % 7 == 0 else b"\xff" * (o % 50), b"[]") for o in range(3 * p, 300, 1 + p)] for p in range(4)}
+    log = spark.createDataFrame([("t", p, r.offset, r.timestamp_ms, r.producer_id, r.producer_epoch, r.sequence, r.key, r.value, "[]") for p, rs in records.items() for r in rs], segments.SCHEMA)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        segments.write_log(log.repartition(3), str(tmp_path / "log"), 16).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for p, rs in records.items():
+        segments.write_segment(str(tmp_path / "one"), "t", p, [[r for r in rs if r.offset // 16 == b] for b in range(19) if any(r.offset // 16 == b for r in rs)])
+        for kind in ("log", "index", "timeindex"):
+            place = f"topics/t/partitions/{p}/{segments.SEGMENT}.{kind}"
+            assert (tmp_path / "log" / place).read_bytes() == (tmp_path / "one" / place).read_bytes(), place
+
+
 def test_a_log_is_written_as_segments(spark, tmp_path):
     segments.register(spark)
     root = str(tmp_path / "root")
